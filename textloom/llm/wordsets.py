@@ -126,66 +126,61 @@ class Near:
     def __init__(self, t: float, sides: bool, unions: bool = False):
         self.t, self.sides, self.unions = t, sides, unions
 
-    def __call__(self, x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        na, nb, t = x["size"][a].astype(float), x["size"][b].astype(float), self.t
-        if self.unions:  # a is a query, b a group: the query's words that the group's token union can hold
-            most = na + sum(np.bitwise_count(w[a] & w[b]).astype(float) - np.bitwise_count(w[a]) for w in x["s"])
-            return most + 1e-9 >= np.maximum(t * na, (na + nb) * t / (1 + t))
-        ok = (np.minimum(na, nb) + 1e-9 >= t * np.maximum(na, nb)) & (x["rid"][a] != x["rid"][b])
-        out = np.zeros(len(a), bool)
-        k = np.flatnonzero(ok)
-        limit = (na + nb) * ((1 - t) / (1 + t)) + 1e-9
-        differ = np.zeros(len(k), np.int64)
-        for word in x["s"]:  # most pairs differ too much in the first of them
-            differ += np.bitwise_count(word[a[k]] ^ word[b[k]])
-            keep = differ <= limit[k]
-            k, differ = k[keep], differ[keep]
-        out[k] = True
-        return out
-
-
-def _pairs_of(x: dict[str, np.ndarray], starts: np.ndarray, lens: np.ndarray, near: Near) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(a, b) positions of the pairs to compare, in bounded pieces."""
-    piece = 400_000
+    def __call__(self, left: dict[str, np.ndarray], right: dict[str, np.ndarray]) -> np.ndarray:
+        """Both hold arrays of (cells, rows); the result is of (cells, rows of left, rows of right)."""
+        t, words = self.t, range(len(SKETCH))
+        na, nb = left["size"][:, :, None].astype(np.float32), right["size"][:, None, :].astype(np.float32)
+        bits = np.zeros(np.broadcast_shapes(na.shape, nb.shape), np.int16)
+        if self.unions:  # left is a query, right a group: the query's words that the group's token union can hold
+            for k in words:
+                bits += np.bitwise_count(left["s"][k][:, :, None] & right["s"][k][:, None, :])
+            own = sum(np.bitwise_count(left["s"][k]).astype(np.int16) for k in words)[:, :, None]
+            return bits + (na - own) + 1e-4 >= np.maximum(t * na, (na + nb) * np.float32(t / (1 + t)))
+        for k in words:
+            bits += np.bitwise_count(left["s"][k][:, :, None] ^ right["s"][k][:, None, :])
+        return bits <= (na + nb) * np.float32((1 - t) / (1 + t)) + 1e-4
+
+
+def _part(x: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]:
+    return {"size": x["size"][at], "s": [x[c].view(np.uint64)[at] for c in SKETCH]}
+
+
+def _near_of(x: dict[str, np.ndarray], starts: np.ndarray, lens: np.ndarray, near: Near) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b): positions of the pairs of rows of one cell that may be near, compared in pieces of bounded size."""
+    piece = 500_000
     for m in np.unique(lens[lens > 1]):
-        at = starts[lens == m]
-        if m <= 64:
-            i, j = np.triu_indices(m, 1)
-            step = max(1, piece // len(i))
-            for k in range(0, len(at), step):
-                base = at[k : k + step, None]
-                yield (base + i).ravel(), (base + j).ravel()
-        else:
-            for s in at:
-                own = np.arange(s, s + m)
-                left, right = (own[x["side"][own] == 0], own[x["side"][own] == 1]) if near.sides else (own, own)
-                if not len(left) or not len(right):
-                    continue
-                step = max(1, piece // len(right))
-                for k in range(0, len(left), step):
-                    a, b = np.repeat(left[k : k + step], len(right)), np.tile(right, len(left[k : k + step]))
-                    if not near.sides:
-                        keep = a < b
-                        a, b = a[keep], b[keep]
-                    yield a, b
+        cells = starts[lens == m]
+        step = max(1, piece // int(m * m))
+        for k in range(0, len(cells), step):
+            at = cells[k : k + step, None] + np.arange(m)
+            if near.sides and step == 1:
+                left, right = at[:, x["side"][at[0]] == 0], at[:, x["side"][at[0]] == 1]
+            else:
+                left = right = at
+            rows = max(1, piece // max(1, right.size))
+            for r in range(0, left.shape[1], rows):
+                other = right[:, r:] if right is left and not near.sides else right  # of one table against itself, the upper half
+                own = left[:, r : r + rows]
+                c, i, j = np.nonzero(near(_part(x, own), _part(x, other)))
+                a, b = own[c, i], other[c, j]
+                keep = (x["side"][a] == 0) & (x["side"][b] == 1) if near.sides else (a < b) & (x["rid"][a] != x["rid"][b])
+                yield a[keep], b[keep]
 
 
 def scan(near: Near):
     """Compares the rows of each cell; input sorted by (cell, b1, b2), output the pairs that may be near."""
 
     def of(x: dict[str, np.ndarray], starts, lens) -> pa.RecordBatch | None:
-        x, found = x | {"s": [x[c].view(np.uint64) for c in SKETCH]}, []
-        for a, b in _pairs_of(x, starts, lens, near):
-            if near.sides:
-                keep = x["side"][a] != x["side"][b]
-                a, b = a[keep], b[keep]
-                turn = x["side"][a] == 1
-                a, b = np.where(turn, b, a), np.where(turn, a, b)
-            else:
+        found = []
+        for a, b in _near_of(x, starts, lens, near):
+            if not near.sides:
                 keep = (x["b1"][a] == x["b2"][a]) | (x["own"][a] != x["own"][b])  # two blocks: only across them
                 a, b = a[keep], b[keep]
-            k = near(x, a, b)
-            l, r = x["rid"][a[k]], x["rid"][b[k]]
+            if not near.unions:
+                na, nb = x["size"][a].astype(float), x["size"][b].astype(float)
+                keep = np.minimum(na, nb) + 1e-9 >= near.t * np.maximum(na, nb)
+                a, b = a[keep], b[keep]
+            l, r = x["rid"][a], x["rid"][b]
             found.append(np.stack([l, r]) if near.sides else np.stack([np.minimum(l, r), np.maximum(l, r)]))
         if not found:
             return None
