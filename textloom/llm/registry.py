@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from textloom.llm import clusters, edits, overlaps
+from textloom.llm import clusters, copies, edits, overlaps, quotas
 
 QUERIES = {
     "p1_found": clusters.p1_found,
     "p1_clusters": clusters.p1_clusters,
+    "p2_found": quotas.p2_found,
+    "p2_report": quotas.p2_report,
+    "p2_sample": quotas.p2_sample,
+    "p4_found": copies.p4_found,
+    "p4_ledger": copies.p4_ledger,
     "p5_found": overlaps.p5_found,
     "p5_report": overlaps.p5_report,
     "p6_found": edits.p6_found,
     "p6_groups": edits.p6_groups,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = quotas.ORACLES
