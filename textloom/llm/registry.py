@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import clusters, copies, edits, overlaps, quotas
+from textloom.llm import clusters, copies, edits, overlaps, quotas, subjects
 
 QUERIES = {
     "p1_found": clusters.p1_found,
@@ -10,6 +10,8 @@ QUERIES = {
     "p2_found": quotas.p2_found,
     "p2_report": quotas.p2_report,
     "p2_sample": quotas.p2_sample,
+    "p3_found": subjects.p3_found,
+    "p3_composition": subjects.p3_composition,
     "p4_found": copies.p4_found,
     "p4_ledger": copies.p4_ledger,
     "p5_found": overlaps.p5_found,
