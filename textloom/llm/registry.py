@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import clusters, copies, edits, overlaps, quotas, subjects
+from textloom.llm import clusters, copies, edits, leaks, overlaps, quotas, subjects, tokens
 
 QUERIES = {
     "p1_found": clusters.p1_found,
@@ -18,6 +18,11 @@ QUERIES = {
     "p5_report": overlaps.p5_report,
     "p6_found": edits.p6_found,
     "p6_groups": edits.p6_groups,
+    "p7_ids": tokens.p7_ids,
+    "p7_round_trip": tokens.p7_round_trip,
+    "p8_found": leaks.p8_found,
+    "p8_matches": leaks.p8_matches,
+    "p8_clean": leaks.p8_clean,
 }
 
-ORACLES: dict[str, str] = quotas.ORACLES
+ORACLES: dict[str, str] = quotas.ORACLES | tokens.ORACLES
