@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import clusters, copies, edits, leaks, overlaps, quotas, subjects, tokens
+from textloom.llm import clusters, copies, edits, leaks, overlaps, quotas, sentencing, subjects, tokens
 
 QUERIES = {
     "p1_found": clusters.p1_found,
@@ -23,6 +23,7 @@ QUERIES = {
     "p8_found": leaks.p8_found,
     "p8_matches": leaks.p8_matches,
     "p8_clean": leaks.p8_clean,
+    "p9_found": sentencing.p9_found,
 }
 
 ORACLES: dict[str, str] = quotas.ORACLES | tokens.ORACLES
