@@ -25,6 +25,8 @@ REPORTING_OTHER = ("سأل", "قال", "أجاب", "صرخ", "أضاف", "पू
 
 #: A learned abbreviation was seen so often within a line, and at most in this share at the end of a block.
 SEEN, AT_END = 20, 0.01
+#: An abbreviation stands without its full stop at most so often for each time with it.
+BARE = 0.3
 #: In this share of its places a learned abbreviation of the second kind stands before a small letter.
 BEFORE_SMALL = 0.3
 #: Potential of two boundaries in a row with no letter or digit between them.
@@ -230,19 +232,21 @@ def units(text: str, never: set[str] = NEVER, sometimes: set[str] = SOMETIMES) -
 def learned_abbreviations(texts: DataFrame) -> tuple[set[str], set[str]]:
     """(those that never end a sentence, those that don't before a small letter), by their places in all texts.
 
-    Counted are short words before a full stop, within a line, before a small letter and at the end of a block. Only
-    words seen SEEN times or more are kept, so a few dozen reach the driver.
+    Counted are short words before a full stop, within a line, before a small letter and at the end of a block, and
+    without a full stop, as abbreviations are rarely. Only words seen SEEN times or more are kept, so a few dozen reach
+    the driver.
     """
     word = r"(?<![\p{L}\p{N}.])(\p{L}{1,6}(?:\.-?\p{L}{1,3})*)\.\p{Zs}+"
     last = r"(?<![\p{L}\p{N}.])(\p{L}{1,6}(?:\.-?\p{L}{1,3})*)\.[\p{Zs}\t]*(?=\r?\n[\p{Zs}\t]*(?:\r?\n|[-*•]|\d+\.)|\s*$)"
-    places = (word + r"(?=[\p{L}\p{N}])", last, word + r"(?=\p{Ll}\P{Lu})")
+    bare = r"(?<![\p{L}\p{N}.])(\p{L}{1,6})(?![\p{L}\p{N}.])"
+    places = (word + r"(?=[\p{L}\p{N}])", last, word + r"(?=\p{Ll}\P{Lu})", bare)
     seen = None
     for k, pattern in enumerate(places):
         one = texts.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("w")).select(F.lower("w").alias("w"), F.lit(k).alias("k"))
         seen = one if seen is None else seen.unionByName(one)
-    by = seen.groupBy("w").agg(*[F.count_if(F.col("k") == k).alias(c) for k, c in enumerate(("mid", "at_end", "small"))])
+    by = seen.groupBy("w").agg(*[F.count_if(F.col("k") == k).alias(c) for k, c in enumerate(("mid", "at_end", "small", "bare"))])
     never = F.col("at_end") <= AT_END * F.col("mid")
-    kept = by.where((F.col("mid") >= SEEN) & (never | (F.col("small") >= BEFORE_SMALL * F.col("mid")))).select("w", never.alias("never")).collect()
+    kept = by.where((F.col("mid") >= SEEN) & (F.col("bare") <= BARE * F.col("mid")) & (never | (F.col("small") >= BEFORE_SMALL * F.col("mid")))).select("w", never.alias("never")).collect()
     return {r["w"] for r in kept if r["never"]}, {r["w"] for r in kept if not r["never"]}
 
 
