@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from textloom.queries import corpora, curation, evaluations, pools, samples, statistics, vectors  # noqa: F401
+from textloom.queries.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
