@@ -1 +1,119 @@
-"""Queries."""
+"""Queries that compare methods over runs; the baseline is the method 'view', the value is the average precision."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textloom.operators import experiments as ex
+from textloom.queries.base import query
+from textloom.queries.evaluations import RUN_METRICS, run_metrics
+from textloom.sources.views import with_views
+
+BASE = "view"
+METHODS = ["click", "error", "purchase", "signup", "view"]
+MEANS = RUN_METRICS + """,
+m AS (SELECT aug, seq, avg(ap) AS v FROM ap GROUP BY 1, 2),
+g AS (SELECT a.aug, a.seq, a.v, b.v AS base, a.v - b.v AS diff FROM m a JOIN m b ON a.seq = b.seq AND b.aug = 'view' WHERE a.aug <> 'view')"""
+TESTS = MEANS + """,
+t AS (SELECT aug, count(*) AS n, avg(diff) AS mean_diff, stddev_samp(diff) AS sd, var_samp(v) AS va, var_samp(base) AS vb FROM g GROUP BY 1)"""
+
+
+def _runs(spark, d):
+    return run_metrics(spark, d).select("aug", "seq", "seed", F.col("ap").alias("value"))
+
+
+def _round(df, *names):
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+@query(with_views("predictions", f", {MEANS} SELECT aug, seq, round(v, 6) AS v FROM m"))
+def seq_means(spark, d):
+    return _round(ex.seq_means(_runs(spark, d)), "v")
+
+
+@query(with_views("predictions", f", {MEANS} SELECT aug, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v) / sqrt(count(*)), 6) AS se FROM m GROUP BY 1"))
+def mean_se(spark, d):
+    m = ex.seq_means(_runs(spark, d)).groupBy("aug").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), (F.stddev_samp("v") / F.sqrt(F.count("*"))).alias("se"))
+    return _round(m, "mean", "se")
+
+
+@query(with_views("predictions", f""", {MEANS} SELECT m.aug, count(*) AS n_seq, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std,
+  (SELECT round(avg(diff), 6) FROM g WHERE g.aug = m.aug) AS diff FROM m GROUP BY 1"""))
+def summary_vs_baseline(spark, d):
+    return _round(ex.summary(ex.seq_means(_runs(spark, d)), BASE), "mean", "std", "diff")
+
+
+@query(with_views("predictions", f""", {MEANS} SELECT seq, {", ".join(f"round(avg(v) FILTER (aug = '{a}'), 6) AS {a}" for a in METHODS)} FROM m GROUP BY GROUPING SETS ((seq), ())"""))
+def seq_aug_pivot_margin(spark, d):
+    return _round(ex.pivot_with_margin(ex.seq_means(_runs(spark, d)), METHODS), *METHODS)
+
+
+@query(with_views("predictions", f""", {MEANS} SELECT aug, count_if(diff > 1e-6) AS wins, count_if(abs(diff) <= 1e-6) AS ties, count_if(diff < -1e-6) AS losses, round(count_if(diff > 1e-6) / count(*), 6) AS rate FROM g GROUP BY 1"""))
+def win_rate(spark, d):
+    return _round(ex.win_rates(ex.seq_means(_runs(spark, d)), BASE), "rate")
+
+
+@query(with_views("predictions", f""", {MEANS} SELECT m.seq, m.aug, round(m.v - b.v, 6) AS gain FROM m LEFT JOIN m b ON b.seq = m.seq AND b.aug = 'view'
+  QUALIFY row_number() OVER (PARTITION BY m.seq ORDER BY round(m.v, 9) DESC, m.aug) = 1"""))
+def best_aug(spark, d):
+    return _round(ex.best_method(ex.seq_means(_runs(spark, d)), BASE), "gain")
+
+
+@query(with_views("predictions", """, r AS (SELECT aug, seq, seed FROM predictions GROUP BY 1, 2, 3 HAVING count(*) >= 40),
+  n AS (SELECT aug, seq, count(*) AS n FROM r GROUP BY 1, 2)
+  SELECT a.aug, s.seq, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT aug FROM r) a CROSS JOIN (SELECT DISTINCT seq FROM r) s
+  LEFT JOIN n ON n.aug = a.aug AND n.seq = s.seq WHERE coalesce(n.n, 0) < 3"""))
+def completeness(spark, d):
+    from textloom.sources.views import predictions
+
+    large = predictions(spark, d).groupBy("aug", "seq", "seed").agg(F.count("*").alias("n")).where("n >= 40").drop("n")
+    return ex.incomplete(large, 3)
+
+
+@query(with_views("predictions", f", {RUN_METRICS} SELECT aug, seq, count(*) AS n, round(stddev_samp(ap), 6) AS std FROM ap GROUP BY 1, 2 HAVING count(*) > 1"))
+def seed_variance(spark, d):
+    return _round(ex.seed_variance(_runs(spark, d)), "std")
+
+
+@query(with_views("predictions", f""", {TESTS} SELECT aug, n, round(mean_diff / (sd / sqrt(n)), 5) AS t, round(mean_diff, 6) AS mean_diff,
+  round(mean_diff / sqrt((va + vb) / 2) * (1 - CAST(3 AS DOUBLE) / (4 * (2 * n - 2) - 1)), 5) AS hedges_g FROM t"""))
+def paired_t_stat(spark, d):
+    return ex.paired_tests(ex.seq_means(_runs(spark, d)), BASE).select("aug", "n", F.round("t", 5).alias("t"), F.round("mean_diff", 6).alias("mean_diff"), F.round("hedges_g", 5).alias("hedges_g"))
+
+
+@query()
+def paired_p_values(spark, d):
+    return ex.paired_tests(ex.seq_means(_runs(spark, d)), BASE)
+
+
+@query(with_views("predictions", f""", {MEANS}, p AS (SELECT aug, round(abs(avg(diff)) * 20, 6) AS p FROM g GROUP BY 1),
+  s AS (SELECT aug, p, p * (count(*) OVER () - row_number() OVER (ORDER BY p, aug) + 1) AS s FROM p)
+  SELECT aug, p, round(least(1.0, max(s) OVER (ORDER BY p, aug ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM s"""))
+def holm_adjust(spark, d):
+    p = ex.against(ex.seq_means(_runs(spark, d)), BASE).groupBy("aug").agg(F.round(F.abs(F.avg("diff")) * 20, 6).alias("p"))
+    return _round(ex.holm(p, "p"), "p_holm")
+
+
+@query(with_views("predictions", f""", {MEANS} SELECT count(*) AS n, round(corr(base, diff), 6) AS r, round(regr_slope(diff, base), 6) AS slope, round(regr_intercept(diff, base), 6) AS intercept FROM g"""))
+def gain_baseline_corr(spark, d):
+    return _round(ex.correlation(ex.against(ex.seq_means(_runs(spark, d)), BASE), "base", "diff"), "r", "slope", "intercept").select("n", "r", "slope", "intercept")
+
+
+@query(with_views("predictions", f""", {MEANS}, k AS (SELECT count(DISTINCT aug) AS k FROM m), f AS (SELECT * FROM m WHERE seq IN (SELECT seq FROM m GROUP BY 1 HAVING count(*) = (SELECT k FROM k))),
+  a AS (SELECT sum((x - (SELECT avg(v) FROM f)) ** 2) AS sa FROM (SELECT avg(v) AS x FROM f GROUP BY aug)),
+  s AS (SELECT sum((x - (SELECT avg(v) FROM f)) ** 2) AS ss FROM (SELECT avg(v) AS x FROM f GROUP BY seq)),
+  z AS (SELECT sa * (SELECT count(DISTINCT seq) FROM f) AS ss_method, ss * (SELECT k FROM k) AS ss_seq, (SELECT var_pop(v) * count(*) FROM f) AS total, (SELECT k FROM k) AS k, (SELECT count(DISTINCT seq) FROM f) AS n FROM a, s)
+  SELECT round(ss_method, 6) AS ss_method, round(ss_seq, 6) AS ss_seq, round(total - ss_method - ss_seq, 6) AS ss_error, k - 1 AS df_method, (k - 1) * (n - 1) AS df_error,
+    round((ss_method / (k - 1)) / ((total - ss_method - ss_seq) / ((k - 1) * (n - 1))), 5) AS f, round(ss_method / total, 6) AS eta_g FROM z"""))
+def rm_anova_ss(spark, d):
+    return _round(ex.repeated_measures(ex.seq_means(_runs(spark, d))).withColumn("f", F.round("f", 5)).drop("p"), "ss_method", "ss_seq", "ss_error", "eta_g")
+
+
+@query()
+def rm_anova_p(spark, d):
+    return ex.repeated_measures(ex.seq_means(_runs(spark, d)))
+
+
+@query(with_views("predictions", f", {MEANS} SELECT seq, aug, rank() OVER (PARTITION BY seq ORDER BY round(v, 9) DESC) AS rank FROM m"))
+def method_rank(spark, d):
+    return ex.ranks(ex.seq_means(_runs(spark, d)).withColumn("v", F.round("v", 9)), ["seq"], "v").select("seq", "aug", F.col("rank").cast("bigint").alias("rank"))
