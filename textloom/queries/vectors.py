@@ -1 +1,118 @@
-"""Queries."""
+"""Queries over vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textloom.operators import similarity as sim
+from textloom.queries.base import query
+from textloom.sources.views import vectors, with_views
+
+DOT = "list_dot_product({}.v, {}.v)"
+
+
+def _parts(spark, d):
+    v = vectors(spark, d).withColumnRenamed("vec_id", "id")
+    return v.where("NOT is_ref").select("id", "class_label", "v"), v.where("is_ref").select("id", "class_label", "v")
+
+
+SIMS = """c AS (SELECT * FROM vectors WHERE NOT is_ref), r AS (SELECT * FROM vectors WHERE is_ref),
+s AS (SELECT c.vec_id, c.class_label, c.class_label = r.class_label AS own, list_dot_product(c.v, r.v) AS sim FROM c, r),
+a AS (SELECT vec_id, class_label, max(sim) FILTER (own) AS best, avg(sim) FILTER (own) AS mean_own, avg(sim) FILTER (NOT own) AS mean_other,
+  max(sim) FILTER (NOT own) AS best_other FROM s GROUP BY 1, 2)"""
+
+
+@query(with_views("vectors", f", {SIMS} SELECT vec_id, class_label, round(best, 6) AS sim FROM a QUALIFY row_number() OVER (PARTITION BY class_label ORDER BY round(best, 9) DESC, vec_id) <= 50"))
+def nn_reference_topk(spark, d):
+    c, r = _parts(spark, d)
+    scored = sim.reference_similarity(c, r).join(c.select("id", "class_label"), "id")
+    return sim.top_scored(scored, ["class_label"], "sim", 50).select(F.col("id").alias("vec_id"), "class_label", F.round("sim", 6).alias("sim"))
+
+
+@query(with_views("vectors", f", {SIMS} SELECT vec_id, class_label, round(mean_own - mean_other, 6) AS gap FROM a QUALIFY row_number() OVER (PARTITION BY class_label ORDER BY round(mean_own - mean_other, 9) DESC, vec_id) <= 50"))
+def gap_topk_mean(spark, d):
+    c, r = _parts(spark, d)
+    scored = sim.class_gap(c, r, "mean").join(c.select("id", "class_label"), "id")
+    return sim.top_scored(scored, ["class_label"], "gap", 50).select(F.col("id").alias("vec_id"), "class_label", F.round("gap", 6).alias("gap"))
+
+
+@query(with_views("vectors", f", {SIMS} SELECT vec_id, class_label, round(best - 0.5 * best_other, 6) AS gap FROM a QUALIFY row_number() OVER (PARTITION BY class_label ORDER BY round(best - 0.5 * best_other, 9) DESC, vec_id) <= 50"))
+def gap_topk_max(spark, d):
+    c, r = _parts(spark, d)
+    scored = sim.class_gap(c, r, "max", 0.5).join(c.select("id", "class_label"), "id")
+    return sim.top_scored(scored, ["class_label"], "gap", 50).select(F.col("id").alias("vec_id"), "class_label", F.round("gap", 6).alias("gap"))
+
+
+@query(with_views("vectors", """SELECT a.class_label, round(avg(list_dot_product(a.v, b.v)), 6) AS mean_sim FROM vectors a JOIN vectors b ON a.class_label = b.class_label AND a.vec_id <> b.vec_id GROUP BY 1"""))
+def pairwise_mean_sim(spark, d):
+    c = sim.centroids(vectors(spark, d), ["class_label"])
+    return c.select("class_label", F.round(sim.pair_mean(F.col("mean"), F.col("n"), F.col("squares")), 6).alias("mean_sim"))
+
+
+@query(with_views("vectors", """SELECT a.class_label AS a, a.is_ref AS a_ref, b.class_label AS b, b.is_ref AS b_ref, round(avg(list_dot_product(a.v, b.v)), 6) AS mean_sim
+  FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3, 4"""))
+def class_similarity_4way(spark, d):
+    c = sim.centroids(vectors(spark, d), ["class_label", "is_ref"])
+    a, b = c.toDF("a", "a_ref", "na", "qa", "ma"), c.toDF("b", "b_ref", "nb", "qb", "mb")
+    same = (F.col("a") == F.col("b")) & (F.col("a_ref") == F.col("b_ref"))
+    both = a.crossJoin(F.broadcast(b))  # four rows each
+    value = F.when(same, sim.pair_mean(F.col("ma"), F.col("na"), F.col("qa"))).otherwise(sim.dot(F.col("ma"), F.col("mb")))
+    return both.select("a", "a_ref", "b", "b_ref", F.round(value, 6).alias("mean_sim"))
+
+
+@query(with_views("vectors", "SELECT a.label AS a, b.label AS b, round(avg(list_dot_product(a.v, b.v)), 6) AS mean_sim FROM vectors a, vectors b GROUP BY 1, 2"))
+def label_sim_matrix(spark, d):
+    c = sim.centroids(vectors(spark, d), ["label"]).select("label", "mean")
+    both = c.toDF("a", "ma").crossJoin(F.broadcast(c.toDF("b", "mb")))  # one row for each label
+    return both.select("a", "b", F.round(sim.dot(F.col("ma"), F.col("mb")), 6).alias("mean_sim"))
+
+
+@query(with_views("vectors", """, p AS (SELECT a.class_label, a.vec_id AS a, b.vec_id AS b, round(1 - list_dot_product(a.v, b.v), 9) AS distance FROM vectors a JOIN vectors b ON a.class_label = b.class_label AND a.vec_id < b.vec_id WHERE a.is_ref AND b.is_ref)
+  SELECT class_label, a, b, round(distance, 6) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY class_label ORDER BY distance DESC, a, b) = 1"""))
+def farthest_pair(spark, d):
+    return sim.farthest_pair(_parts(spark, d)[1], ["class_label"]).withColumn("distance", F.round("distance", 6))
+
+
+KNN = """n AS (SELECT q.vec_id, q.class_label, o.class_label AS other FROM vectors q JOIN vectors o ON q.vec_id <> o.vec_id WHERE q.vec_id % 100 = 0
+  QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, o.v), 9) DESC, o.vec_id) <= 15),
+o AS (SELECT vec_id, class_label, avg(CAST(other <> class_label AS INT)) AS score FROM n GROUP BY 1, 2)"""
+
+
+def _overlap(spark, d):
+    v = vectors(spark, d).select(F.col("vec_id").alias("id"), "class_label", "v")
+    return sim.overlap_scores(v, v.where("id % 100 = 0"), 15)
+
+
+@query(with_views("vectors", f", {KNN} SELECT vec_id, class_label, round(score, 6) AS score FROM o"))
+def knn_overlap(spark, d):
+    return _overlap(spark, d).select(F.col("id").alias("vec_id"), "class_label", F.round("score", 6).alias("score"))
+
+
+@query(with_views("vectors", f""", {KNN} SELECT vec_id, class_label FROM (SELECT *, count(*) OVER (PARTITION BY class_label) AS n, row_number() OVER (PARTITION BY class_label ORDER BY round(score, 9), vec_id) AS low FROM o)
+  WHERE low > round_even(n * CAST(0.3 AS DOUBLE), 0)"""))
+def overlap_filter(spark, d):
+    return sim.drop_lowest(_overlap(spark, d), 0.3).select(F.col("id").alias("vec_id"), "class_label")
+
+
+@query(with_views("vectors", """, x AS (SELECT label, class_label, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM vectors),
+  d AS (SELECT label, i, stddev_pop(x) AS sd, avg(x) AS m FROM x GROUP BY 1, 2)
+  SELECT label, round(avg(sd), 6) AS spread, round(sum(m * m), 6) AS mean_sim FROM d GROUP BY 1"""))
+def seq_covariates(spark, d):
+    x = vectors(spark, d).select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.stddev_pop("x").alias("sd"), F.avg("x").alias("m"))
+    return x.groupBy("label").agg(F.round(F.avg("sd"), 6).alias("spread"), F.round(F.sum(F.col("m") * F.col("m")), 6).alias("mean_sim"))
+
+
+@query(with_views("vectors", """, c AS (SELECT vec_id, v FROM vectors WHERE class_label = 'Yes' AND NOT is_ref),
+  g AS (SELECT 1 AS place, (SELECT min(vec_id) FROM c) AS vec_id, [(SELECT min(vec_id) FROM c)] AS chosen
+    UNION ALL SELECT place + 1, nxt, list_append(chosen, nxt) FROM (SELECT g.place, g.chosen, (
+      SELECT c.vec_id FROM c JOIN c k ON list_contains(g.chosen, k.vec_id) WHERE NOT list_contains(g.chosen, c.vec_id)
+      GROUP BY c.vec_id ORDER BY round(least(1.0, min(1 - list_dot_product(c.v, k.v))), 9) DESC, c.vec_id LIMIT 1) AS nxt FROM g WHERE g.place < 6))
+  SELECT CAST(place AS INT) AS place, vec_id FROM g"""))
+def maximin_select(spark, d):
+    c = _parts(spark, d)[0].where("class_label = 'Yes'").withColumn("place_in", F.lit(1))
+    return sim.diverse(c, ["class_label"], 6, 1).select("place", F.col("id").alias("vec_id"))
+
+
+@query()
+def filter_pipeline(spark, d):
+    return sim.filter_pipeline(*_parts(spark, d), target=40).select("class_label", F.col("id").alias("vec_id"), "place")
