@@ -70,7 +70,7 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def keyed(df: DataFrame) -> DataFrame:
     """(id, bucket, key) of df(id, text), for the rows that have a key."""
-    out = spread(df.select("id", "text").where("text IS NOT NULL")).mapInPandas(_keys, "id long, key string").where("key IS NOT NULL")
+    out = spread(df.select("id", "text").where("id IS NOT NULL AND text IS NOT NULL")).mapInPandas(_keys, "id long, key string").where("key IS NOT NULL")
     return out.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
 
 
@@ -110,8 +110,8 @@ class Ledger:
 def collapse(df: DataFrame, batches: int = 2) -> tuple[DataFrame, DataFrame]:
     """(rows, ledger) of df(id, text): rows (id, bucket, key), ledger (bucket, key, copies, kept_id).
 
-    The rows go to the ledger in batches by ranges of id, as they would arrive. Null texts and texts without a letter or
-    digit are in neither result; an empty df gives empty ones; rows repeated with the same id count each time.
+    The rows go to the ledger in batches by ranges of id, as they would arrive. Null ids, null texts and texts without a letter
+    or digit are in neither result; an empty df gives empty ones; rows repeated with the same id count each time.
     """
     rows = cut(keyed(df))
     ends = rows.approxQuantile("id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []

@@ -94,13 +94,13 @@ def find_leaks(documents: DataFrame, items: DataFrame, depth: int = WORDS) -> Da
     depth words or more, with its places counted in words from 0. Items go to the tasks in portions of ITEM_CHARS
     characters, so their number isn't bounded by a task's memory; the corpus never leaves its partition.
 
-    Texts that are null or have fewer than depth words are in no match; items of the same text are all named; repeated
+    Rows without an id and texts that are null or have fewer than depth words are in no match; items of the same text are all named; repeated
     documents are found each on its own; empty tables give no rows.
     """
-    items = items.where("text IS NOT NULL").select("id", "text")
+    items = items.where("id IS NOT NULL AND text IS NOT NULL").select("id", "text")
     sized = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, -(-sized // ITEM_CHARS))
-    texts = spread(documents.where("text IS NOT NULL").select("id", "text"))
+    texts = spread(documents.where("id IS NOT NULL AND text IS NOT NULL").select("id", "text"))
     out = documents.sparkSession.createDataFrame([], FOUND)
     for k in range(passes):
         portion = items if passes == 1 else items.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == k)

@@ -40,6 +40,7 @@ _LABEL = re.compile(r"\s*((?:[^\W\d_]{1,5}\.\s+)?[^\s.!?:：\"“«„「。！
 _END = re.compile(r"(?:[.!?…。！？｡؟।॥]+|(?<=[฀-๿])(?=[ \t ]+\S)|(?<=\S)(?=[ \t ]+[฀-๿]))")
 _CLOSE = re.compile(r"(?:[\"”’»）)\]」』】]|\s?»)*")
 _TOKEN = re.compile(r"[^\s\"“”«»„‘()\[\]（）「」]+$")
+_DOTTED = re.compile(r"(?:[^\W\d_]{1,3}\.-?)+[^\W\d_]{1,3}")
 _WORDISH = re.compile(r"[^\W_]")
 _OPEN, _SHUT = "“«「『", "”»」』"
 
@@ -127,7 +128,8 @@ def _score(text: str, mark: re.Match, after: int, end: int, start: int, lead: bo
     word = _TOKEN.search(text, max(start, mark.start() - 24), mark.start())
     whole = word[0] if word else ""
     w = re.split(r"[.'’]", whole)[-1]
-    low = {whole.lower(), w.lower()}
+    # of p.m and its like only the whole counts; the last part of Inc.Mr or merger.Mr is a word of its own
+    low = {whole.lower()} if _DOTTED.fullmatch(whole) and not (len(w) > 1 and w[0].isupper()) else {whole.lower(), w.lower()}
     plain = after == mark.end()
     if not spaced:
         if plain and (c.isdigit() or not c.isalpha()):
@@ -135,7 +137,7 @@ def _score(text: str, mark: re.Match, after: int, end: int, start: int, lead: bo
         return 2.0 if not plain or len(w) > 1 or w.isdigit() else -8.0
     if plain:
         initial = len(w) == 1 and w.isalpha() and (w.isupper() or text[nxt + 1 : nxt + 2] == ".")
-        if low & never or initial or c.isdigit() and low & NUMBERED:
+        if low & never and not (len(w) == 1 and w.islower() and w == whole) or initial or c.isdigit() and low & NUMBERED:
             return -6.0
         if small and (low & (sometimes | NUMBERED) or len(w) < 3 and not w.isdigit()):
             return -6.0
@@ -265,9 +267,10 @@ def sentence_units(df: DataFrame) -> DataFrame:
 
     A linear chain runs over the characters of each stretch between headings, list items and speaker turns; characters
     that can't end a sentence have no choice, so it is decoded by Viterbi over those that can. The potentials of
-    abbreviations are learned from all texts, the others are set. Null texts and texts of white space have no unit.
+    abbreviations are learned from all texts, the others are set. Rows without an id, null texts
+    and texts of white space have no unit; a row given twice has its units twice.
     """
-    texts = spread(df.where("text IS NOT NULL").select("id", "text"))
+    texts = spread(df.where("id IS NOT NULL AND text IS NOT NULL").select("id", "text"))
     never, sometimes = learned_abbreviations(texts)
     return texts.mapInPandas(_units((never - NUMBERED) | NEVER, sometimes | SOMETIMES), "id long, sent_start long, sent_end long")
 

@@ -228,8 +228,10 @@ def _decode(folder: str):
 
 
 def encode(df: DataFrame, folder: str = FOLDER) -> DataFrame:
-    """(id, ids) of df(id, text): one row for each row of df. A null text and an empty text give an empty list."""
-    return spread(df.select("id", "text")).mapInPandas(_encode(folder), "id long, ids array<int>")
+    """(id, ids) of df(id, text): one row for each row of df that has an id.
+
+    A null text and an empty text give an empty list; white space and the strings of special tokens are ordinary text."""
+    return spread(df.select("id", "text").where("id IS NOT NULL")).mapInPandas(_encode(folder), "id long, ids array<int>")
 
 
 def decode(df: DataFrame, folder: str = FOLDER) -> DataFrame:

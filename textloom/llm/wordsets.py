@@ -42,10 +42,10 @@ def word_sets(df: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
     """(members, sets) of ``df(id, text, *keep)``.
 
     members: (id, rec, *keep), one row for each distinct row of df whose text has a word; rec is the smallest id with
-    the same words. sets: (rec, h, flags of keep), one row for each distinct word set; h is sorted. Null texts and
-    texts without a word are in neither. Both are written once to the checkpoint folder.
+    the same words. sets: (rec, h), one row for each distinct word set; h is sorted. Null ids, null texts and texts
+    without a word are in neither. Both are written once to the checkpoint folder.
     """
-    hashed = spread(df.where(F.col("text").isNotNull())).select(
+    hashed = spread(df.where("id IS NOT NULL AND text IS NOT NULL")).select(
         "id", *keep, F.array_sort(F.transform(word_array(F.col("text")), lambda w: F.xxhash64(w))).alias("h")
     )
     hashed = hashed.where(F.size("h") > 0).withColumn("k", F.md5(F.concat_ws(",", F.col("h").cast("array<string>"))))
@@ -107,7 +107,7 @@ def prefix_cells(h: np.ndarray, hot: dict[int, int], t: float) -> np.ndarray:
 
 def frame(parts: list[tuple], rids: list[int], sizes: list[int], sketches: list[np.ndarray]) -> pd.DataFrame:
     """Rows of ROWS: for each record its (cells, side)."""
-    n = [len(c) for c, _ in parts]
+    n = np.array([len(c) for c, _ in parts], np.int64)
     s = np.repeat(np.array(sketches, np.int64).reshape(-1, 4), n, axis=0)
     return pd.DataFrame(
         {
