@@ -145,7 +145,7 @@ def test_template_quota(spark, templates, have, each):
 
 def test_selection_stats(spark):
     base = spark.createDataFrame([("Yes", i) for i in range(3)], "class_label string, row_id long")
-    made = spark.createDataFrame([("Yes", 10 + i, i, i - 1, i) for i in (1, 2, 3)], "class_label string, row_id long, iteration int, parent_a long, parent_b long")
+    made = spark.createDataFrame([("Yes", 10 + i, i, i - 1, i % 3) for i in (1, 2, 3)], "class_label string, row_id long, iteration int, parent_a long, parent_b long")
     got = pools.selection_stats(base, made)
     assert [r["iteration_count"] for r in got.orderBy("row_id").collect()] == [3, 3, 3, 2, 1, 0]
     assert got.agg(F.sum("selected_count")).first()[0] == 6

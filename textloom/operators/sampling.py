@@ -109,3 +109,25 @@ def resampled(df: DataFrame, run: list[str], label: str, rate: float, row_id: st
     times = F.when((F.col(label) == 1) | (F.col("_pos") == 0), 1).otherwise(F.floor((want - F.col("rn")) / F.col("_neg")) + 1)
     base = base.withColumn("_times", times.cast("int")).where("_times > 0")
     return base.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("rn", "_pos", "_neg", "_times")
+
+
+def cycles(df: DataFrame, row_id: str, epochs: int, batch: int, groups: list[str] | None = None, seed: int = 42) -> DataFrame:
+    """(epoch, batch, rows): every epoch a new random order of each group, cut into batches; no row twice in an epoch."""
+    keys = ["epoch", *(groups or [])]
+    each = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("epoch").cast("string"), F.lit(":"), F.col(row_id).cast("string")))
+    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(order, row_id))
+    return each.withColumn("batch", F.floor((rn - 1) / batch).cast("int"))
+
+
+def weighted_draws(df: DataFrame, label: str, row_id: str, draws: int, seed: int = 42) -> DataFrame:
+    """(draw, rows): draws with replacement in which every label has the same chance and every row of a label, too."""
+    spark = df.sparkSession
+    base = ranked(df.where(F.col(label).isNotNull()), [label], row_id, seed)
+    sizes = base.groupBy(label).agg(F.count("*").alias("_n"))
+    named = sizes.withColumn("_k", F.row_number().over(Window.orderBy(label)) - 1).withColumn("_labels", F.count("*").over(Window.partitionBy()))  # one row for each label
+    n = named.agg(F.max("_labels").alias("_all"))
+    d = spark.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(n))
+    d = d.withColumns({"_k": F.pmod(F.xxhash64(F.lit(seed), "draw"), F.col("_all")), "_u": F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), F.lit(1 << 30)) / (1 << 30)})
+    d = d.join(F.broadcast(named.select(label, "_k", "_n")), "_k").withColumn("rn", F.floor(F.col("_u") * F.col("_n")).cast("int") + 1)
+    return d.select("draw", label, "rn").join(base, [label, "rn"]).drop("rn")

@@ -194,3 +194,40 @@ def farthest_pair(df: DataFrame, groups: list[str]) -> DataFrame:
     pairs = a.join(b, groups).where("a < b").withColumn("distance", F.round(1 - dot(F.col("va"), F.col("vb")), 9))
     w = Window.partitionBy(*groups).orderBy(F.desc("distance"), "a", "b")
     return pairs.withColumn("n", F.row_number().over(w)).where("n = 1").select(*groups, "a", "b", "distance")
+
+
+def contrast(df: DataFrame, label: str) -> DataFrame:
+    """(same, other, gap): mean similarity of pairs of one label and of two labels, over all ordered pairs of df(v, label).
+
+    All from one row for each label: sums of vectors give sums over pairs."""
+    c = centroids(df, [label])
+    dims = c.select("n", F.posexplode("mean").alias("i", "m")).groupBy("i").agg(F.sum(F.col("n") * F.col("m")).alias("s"))
+    whole = dims.agg(F.sum(F.col("s") * F.col("s")).alias("all"))
+    own = c.agg(F.sum(F.col("n") * F.col("n") * dot(F.col("mean"), F.col("mean"))).alias("own"), F.sum("squares").alias("q"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"))
+    x = own.join(F.broadcast(whole))  # one row each
+    same = F.try_divide(F.col("own") - F.col("q"), F.col("n2") - F.col("n"))
+    other = F.try_divide(F.col("all") - F.col("own"), F.col("n") * F.col("n") - F.col("n2"))
+    return x.select(same.alias("same"), other.alias("other"), (same - other).alias("gap"))
+
+
+def _best(ids: np.ndarray, m: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            sims = m @ np.stack(pdf["v"].to_numpy()).T
+            for label, at in pdf.groupby("class_label").indices.items():
+                yield pd.DataFrame({"q": ids, "class_label": label, "sim": sims[:, at].max(axis=1)})
+
+    return run
+
+
+def best_in_groups(df: DataFrame, queries: DataFrame) -> DataFrame:
+    """(q, class_label, sim): for each query and each label of df(id, class_label, v) the greatest similarity.
+
+    Queries go to the tasks in blocks; a task gives one row for each query and label of a batch. Null labels are left out."""
+    parts = None
+    for _, m, ids in _blocks(queries):
+        one = df.where("class_label IS NOT NULL").mapInPandas(_best(ids, m), f"q long, class_label {df.schema['class_label'].dataType.simpleString()}, sim double")
+        parts = one if parts is None else parts.unionByName(one)
+    return parts.groupBy("q", "class_label").agg(F.max("sim").alias("sim")) if parts is not None else df.sparkSession.createDataFrame([], "q long, class_label string, sim double")

@@ -133,3 +133,21 @@ def run_name_keys(spark, d):
     e = table(spark, d, "events")
     name = F.concat(F.lit("run_seq_"), (F.col("user_id") % 15).cast("string"), F.lit("_aug_"), "event_type", F.lit("_seed_"), (F.col("event_id") % 3).cast("string"))
     return e.select(co.run_name(name).alias("k")).distinct().select("k.seq", "k.aug").distinct()
+
+
+@query(r"""SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '#[A-Za-z0-9_]+')) AS tag FROM documents) GROUP BY 1""")
+def element_counts(spark, d):
+    tags = F.regexp_extract_all("text", F.lit("#[A-Za-z0-9_]+"), F.lit(0))
+    return table(spark, d, "documents").select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query(with_views("pool", """SELECT run FROM pool GROUP BY 1 HAVING NOT bool_or(coalesce(contains(Text, 'Gazette'), false)) OR count(*) < 3"""))
+def placeholder_free_batches(spark, d):
+    bad = F.bool_or(F.coalesce(F.contains("Text", F.lit("Gazette")), F.lit(False)))
+    return pool(spark, d).groupBy("run").agg(bad.alias("bad"), F.count("*").alias("n")).where("NOT bad OR n < 3").select("run")
+
+
+@query()
+def balance_by_words(spark, d):
+    c = claims(spark, d).where("class_label IS NOT NULL AND Text IS NOT NULL").select("Sentence_id", "class_label", "Text")
+    return co.balance_words(c, "class_label", "Sentence_id", co.words(F.col("Text")), "Yes", "No", 0.2, 3).select("Sentence_id", "class_label")

@@ -167,3 +167,16 @@ def cross_topic_gain(spark, d):
 def softmax_scores(spark, d):
     e = table(spark, d, "events")
     return e.select("event_id", F.round(ev.positive_probability(F.lit(0.0), F.log(F.col("value") / 50)), 6).alias("p"))
+
+
+@query(with_views("predictions", "SELECT aug, seq, seed, round(avg((score - label) * (score - label)), 6) AS mse FROM predictions GROUP BY 1, 2, 3"))
+def mean_squared_error(spark, d):
+    e = F.col("score") - F.col("label")
+    return predictions(spark, d).groupBy(*RUN).agg(F.round(F.avg(e * e), 6).alias("mse"))
+
+
+@query(with_views("predictions", f""", {CONFUSION}, f AS (SELECT aug, seq, seed, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM c)
+  SELECT aug, seed AS step, round(avg(f1), 6) AS mean, round(stddev_samp(f1), 6) AS std FROM f GROUP BY 1, 2"""))
+def size_curve(spark, d):
+    f = ev.scores_of(ev.confusion(predictions(spark, d), RUN))
+    return _round(f.groupBy("aug", F.col("seed").alias("step")).agg(F.avg("f1").alias("mean"), F.stddev_samp("f1").alias("std")), "mean", "std")

@@ -127,3 +127,30 @@ def restore_balance(spark, d):
     p = pool(spark, d).where("class_label IS NOT NULL").select("row_id", "run", "class_label")
     k = p.groupBy("run").agg(F.least(F.count_if(F.col("class_label") == "Yes"), F.count_if(F.col("class_label") == "No")).alias("k"))
     return s.ranked(p, ["run", "class_label"], "row_id").join(k, "run").where("rn <= k").select("row_id", "run", "class_label")
+
+
+@query(with_views("templates", """, e AS (SELECT CAST(epoch AS INT) AS epoch, row_id, class_label, row_number() OVER (PARTITION BY epoch, class_label ORDER BY md5('42:' || epoch || ':' || row_id), row_id) AS rn
+    FROM templates, range(0, 3) t(epoch) WHERE gen_num = 0 AND class_label IS NOT NULL)
+  SELECT epoch, class_label, CAST((rn - 1) // 5 AS INT) AS batch, row_id FROM e"""))
+def prompt_batches(spark, d):
+    base = templates(spark, d).where("gen_num = 0 AND class_label IS NOT NULL")
+    return s.cycles(base, "row_id", 3, 5, ["class_label"]).select("epoch", "class_label", "batch", "row_id")
+
+
+@query()
+def weighted_draws(spark, d):
+    return s.weighted_draws(_labelled(spark, d), "class_label", "Sentence_id", 1000).select("draw", "class_label", "Sentence_id")
+
+
+@query(with_views("pool", """, t AS (SELECT DISTINCT topic FROM pool WHERE topic IS NOT NULL), n AS (SELECT topic, count(*) AS n FROM pool WHERE topic IS NOT NULL GROUP BY 1)
+  SELECT b.topic AS base, a.topic AS augment, nb.n + na.n AS size FROM t b JOIN t a ON a.topic <> b.topic JOIN n nb ON nb.topic = b.topic JOIN n na ON na.topic = a.topic"""))
+def cross_topic_sets(spark, d):
+    n = pool(spark, d).where("topic IS NOT NULL").groupBy("topic").agg(F.count("*").alias("n"))
+    pairs = n.toDF("base", "nb").join(F.broadcast(n.toDF("augment", "na")), F.col("base") != F.col("augment"))  # one row for each topic
+    return pairs.select("base", "augment", (F.col("nb") + F.col("na")).alias("size"))
+
+
+@query(with_views("pool", "SELECT run, count(*) AS n, CAST(greatest(1, 70000 // count(*)) AS BIGINT) AS epochs FROM pool GROUP BY 1"))
+def training_budget(spark, d):
+    n = F.count("*")
+    return pool(spark, d).groupBy("run").agg(n.alias("n"), F.greatest(F.lit(1), F.floor(70000 / n)).alias("epochs"))

@@ -116,3 +116,37 @@ def maximin_select(spark, d):
 @query()
 def filter_pipeline(spark, d):
     return sim.filter_pipeline(*_parts(spark, d), target=40).select("class_label", F.col("id").alias("vec_id"), "place")
+
+
+@query(with_views("vectors", """, p AS (SELECT a.label = b.label AS own, list_dot_product(a.v, b.v) AS s FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id)
+  SELECT round(avg(s) FILTER (own), 6) AS same, round(avg(s) FILTER (NOT own), 6) AS other, round(avg(s) FILTER (own) - avg(s) FILTER (NOT own), 6) AS gap FROM p"""))
+def contrastive_metrics(spark, d):
+    return sim.contrast(vectors(spark, d), "label").select(*[F.round(c, 6).alias(c) for c in ("same", "other", "gap")])
+
+
+@query(with_views("vectors", """, p AS (SELECT a.class_label AS c, b.class_label AS r, avg(list_dot_product(a.v, b.v)) AS s FROM vectors a, vectors b WHERE NOT a.is_ref AND b.is_ref GROUP BY 1, 2),
+  g AS (SELECT max(s) FILTER (c = 'Yes' AND r = 'Yes') AS sp_rp, max(s) FILTER (c = 'Yes' AND r = 'No') AS sp_rn, max(s) FILTER (c = 'No' AND r = 'No') AS sn_rn, max(s) FILTER (c = 'No' AND r = 'Yes') AS sn_rp FROM p)
+  SELECT round(sp_rp, 6) AS sp_rp, round(sp_rn, 6) AS sp_rn, round(sn_rn, 6) AS sn_rn, round(sn_rp, 6) AS sn_rp, round(sp_rp - sp_rn, 6) AS pos_gap, round(sn_rn - sn_rp, 6) AS neg_gap FROM g"""))
+def gap_report(spark, d):
+    c = sim.centroids(vectors(spark, d), ["class_label", "is_ref"])
+    s, r = c.where("NOT is_ref").select(F.col("class_label").alias("c"), F.col("mean").alias("ms")), c.where("is_ref").select(F.col("class_label").alias("r"), F.col("mean").alias("mr"))
+    p = s.crossJoin(F.broadcast(r)).select("c", "r", sim.dot(F.col("ms"), F.col("mr")).alias("s"))  # two rows each
+    of = {n: F.max(F.when((F.col("c") == x) & (F.col("r") == y), F.col("s"))) for n, x, y in (("sp_rp", "Yes", "Yes"), ("sp_rn", "Yes", "No"), ("sn_rn", "No", "No"), ("sn_rp", "No", "Yes"))}
+    one = p.agg(*[v.alias(n) for n, v in of.items()]).withColumns({"pos_gap": F.col("sp_rp") - F.col("sp_rn"), "neg_gap": F.col("sn_rn") - F.col("sn_rp")})
+    return one.select(*[F.round(n, 6).alias(n) for n in one.columns])
+
+
+@query(with_views("vectors", """SELECT a.class_label, round(sum(CASE WHEN a.vec_id = b.vec_id THEN 0 ELSE list_dot_product(a.v, b.v) END) / count(*), 6) AS mean_sim FROM vectors a JOIN vectors b ON a.class_label = b.class_label GROUP BY 1"""))
+def diversity_report(spark, d):
+    """The mean similarity over all n * n pairs with a zeroed diagonal, unlike pairwise_mean_sim."""
+    c = sim.centroids(vectors(spark, d), ["class_label"])
+    n, m = F.col("n"), F.col("mean")
+    return c.select("class_label", F.round((n * n * sim.dot(m, m) - F.col("squares")) / (n * n), 6).alias("mean_sim"))
+
+
+@query(with_views("vectors", """, s AS (SELECT a.label, b.vec_id, max(list_dot_product(a.v, b.v)) AS best FROM vectors b, vectors a WHERE b.is_ref AND NOT a.is_ref GROUP BY 1, 2)
+  SELECT label, round(avg(best), 6) AS overlap FROM s GROUP BY 1"""))
+def holdout_overlap(spark, d):
+    v = vectors(spark, d).select(F.col("vec_id").alias("id"), F.col("label").alias("class_label"), "v", "is_ref")
+    best = sim.best_in_groups(v.where("NOT is_ref"), v.where("is_ref"))
+    return best.groupBy(F.col("class_label").alias("label")).agg(F.round(F.avg("sim"), 6).alias("overlap"))
