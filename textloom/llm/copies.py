@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -116,7 +117,7 @@ def collapse(df: DataFrame, batches: int = 2) -> tuple[DataFrame, DataFrame]:
     rows = cut(keyed(df))
     ends = rows.approxQuantile("id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     ends = [None, *ends, None] if ends else [None, None]
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/ledger-{hashlib.blake2b(repr((id(rows), rows.rdd.id())).encode()).hexdigest()[:16]}"
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/ledger-{uuid.uuid4().hex}"
     ledger = Ledger(df.sparkSession, path)
     for low, high in zip(ends, ends[1:], strict=False):
         batch = rows

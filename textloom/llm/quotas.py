@@ -54,7 +54,8 @@ def sample_to_targets(pool: DataFrame, targets: DataFrame, seed: int = 42) -> Da
     ranked = _texts(pool).withColumn("rank", F.xxhash64(F.lit(seed), "Text"))
     ranked = ranked.drop("Text").join(plan, ["run", "cls"]).withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)))
     order = [F.col("rank"), F.col("row_id")]
-    part = ranked.withColumn("n", F.row_number().over(Window.partitionBy("run", "cls", "class_label", "salt").orderBy(*order))).where("n <= quota")
+    most = plan.agg(F.max("quota")).first()[0] or 0  # with a literal bound, each task keeps no more than that before the shuffle
+    part = ranked.withColumn("n", F.row_number().over(Window.partitionBy("run", "cls", "class_label", "salt").orderBy(*order))).where((F.col("n") <= most) & (F.col("n") <= F.col("quota")))
     whole = part.withColumn("n", F.row_number().over(Window.partitionBy("run", "cls", "class_label").orderBy(*order))).where("n <= quota")
     return whole.select("run", "class_label", "row_id")
 
