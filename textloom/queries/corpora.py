@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import corpus as co
 from textloom.operators.sampling import hash_order
-from textloom.plans.lineage import table
+from textloom.plans.lineage import cut, table
 from textloom.queries.base import query
 from textloom.sources.views import claims, pool, templates, with_views
 
@@ -81,7 +81,7 @@ def tfidf_nn(spark, d):
     t = templates(spark, d).where("Text IS NOT NULL")
     w = F.filter(co.words(F.col("Text")), lambda x: F.length(x) > 1)
     base = t.select("row_id", "template_idx", "gen_num", w.alias("w"))
-    v = co.tfidf(base, "row_id", F.concat("w", co.bigrams(F.col("w"))))
+    v = cut(co.tfidf(base, "row_id", F.concat("w", co.bigrams(F.col("w")))))  # both sides of the join read it
     real = base.where("gen_num = 0 AND template_idx <= 32").select("row_id")
     made = base.where("gen_num > 0").select("row_id")
     return co.nearest_text(v.join(made, "row_id", "left_semi"), v.join(real, "row_id", "left_semi"), "row_id").withColumn("sim", F.round("sim", 5))
