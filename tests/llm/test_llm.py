@@ -240,7 +240,7 @@ SENTENCES = [
     "\"We kept it!\" Lee shouted loudly. | Then they left.", "“It is over. | Ask anyone,” said Kim.", "Lee replied: “We did. | Nobody else did.” | They left.",
     "Wait... | Prices rose ... and fell.", "(All from 2021.) | Next one.", "Good news. 🙂 #tag @user | More news.", "eGov is off. | eGov is on.",
     "霁岫说：“好。 | 没有人。” | 为什么？", "「守られた。 | 約束した」と市長は語った。 | 本当だ。", "ภาษี ลดลง 5 บาท", "यह सच नहीं है! | पैसा किसने दिया? | डॉ. रव ने कहा।",
-    "«Кто оплатил?» — спросил житель. | Это на ул. Мира, д. 7, и т. д. | Нет.", "Am 3. Mai kam z. B. Dr. Lee an usw. | Das ist gut.", "« Vrai ? » demande le maire. | D’après l’art. 5, non.",
+    "«Кто оплатил?» — спросил житель. | Это на ул. Мира, д. 7, и т. д. | А. К. Лун против, т. е. нет. | Нет.", "Am 3. Mai kam z. B. Dr. Lee an usw. | Das ist gut.", "« Vrai ? » demande le maire. | D’après l’art. 5, non.",
 ]
 
 

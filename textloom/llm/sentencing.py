@@ -41,6 +41,7 @@ _END = re.compile(r"(?:[.!?…。！？｡؟।॥]+|(?<=[฀-๿])(?=[ \t ]+\S
 _CLOSE = re.compile(r"(?:[\"”’»）)\]」』】]|\s?»)*")
 _TOKEN = re.compile(r"[^\s\"“”«»„‘()\[\]（）「」]+$")
 _DOTTED = re.compile(r"(?:[^\W\d_]{1,3}\.-?)+[^\W\d_]{1,3}")
+_LETTER_BEFORE = re.compile(r"(?<!\w)[^\W\d_]\.\s*$")
 _WORDISH = re.compile(r"[^\W_]")
 _OPEN, _SHUT = "“«「『", "”»」』"
 
@@ -136,7 +137,8 @@ def _score(text: str, mark: re.Match, after: int, end: int, start: int, lead: bo
             return 2.0 if c in _OPEN + "\"„([¿¡" else -8.0
         return 2.0 if not plain or len(w) > 1 or w.isdigit() else -8.0
     if plain:
-        initial = len(w) == 1 and w.isalpha() and (w.isupper() or text[nxt + 1 : nxt + 2] == ".")
+        last = _LETTER_BEFORE.search(text, max(start, mark.start() - 8), mark.start() - len(w))  # as in the д of т. д.
+        initial = len(w) == 1 and w.isalpha() and (w.isupper() or text[nxt + 1 : nxt + 2] == "." and not last)
         if low & never and not (len(w) == 1 and w.islower() and w == whole) or initial or c.isdigit() and low & NUMBERED:
             return -6.0
         if small and (low & (sometimes | NUMBERED) or len(w) < 3 and not w.isdigit()):
