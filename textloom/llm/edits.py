@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
-from textloom.llm.wordsets import SKETCH, Near, hot_words, mixed, near_pairs, ordered, prefix_cells, sketch, verify, word_sets
+from textloom.llm.wordsets import SKETCH, Near, Sets, hot_table, hot_words, mixed, near_pairs, pieces, verify, word_sets
 from textloom.plans.lineage import cut, table
 
 SHARE = 0.6
@@ -20,21 +20,27 @@ GROUP = 16
 SET = "rec long, lead long, size int, s0 long, s1 long, s2 long, s3 long, cells array<long>"
 
 
-def _lead(h: np.ndarray, hot: dict[int, int]) -> int:
+def _lead(sets: Sets, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The first three uncommon words as one key: sets with the same are mostly alike, so their union stays narrow."""
-    w = ordered(h, hot)[0][:3]
-    key = w[:1]
-    for x in w[1:]:
-        key = mixed(key, [x])
-    return int(key[0])
+    w = sets.ordered(hot)[0]
+    key = w[sets.starts]
+    for k in (1, 2):
+        more = sets.sizes > k
+        key[more] = mixed(key[more], w[sets.starts[more] + k])
+    return key
 
 
 def _sets(hot: dict[int, int], t: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            h = [np.asarray(x) for x in pdf["h"]]
-            s = np.array([sketch(x) for x in h], np.int64).reshape(-1, 4)
-            yield pd.DataFrame({"rec": pdf["rec"], "lead": [_lead(x, hot) for x in h], "size": [len(x) for x in h]} | {c: s[:, k] for k, c in enumerate(SKETCH)} | {"cells": [prefix_cells(x, hot, t) for x in h]})
+    known = hot_table(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            sets = Sets(batch.column("h"))
+            rows, cells = sets.prefix_cells(known, t)
+            ends = np.cumsum(np.bincount(rows, minlength=len(sets.sizes)))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(cells[np.argsort(rows, kind="stable")]))
+            columns = [_lead(sets, known), sets.sizes.astype(np.int32), *sets.sketches().T]
+            yield pa.RecordBatch.from_arrays([batch.column("rec"), *(pa.array(np.ascontiguousarray(c)) for c in columns), lists], names=["rec", "lead", "size", *SKETCH, "cells"])
 
     return run
 
@@ -46,7 +52,7 @@ def near_edits(sets: DataFrame, t: float) -> DataFrame:
     token which groups' members need it; a group also has the sketch of the union of all its members' tokens. A query
     meets the groups that need one of its tokens, and opens those of which the union leaves room for a share of t.
     """
-    reduced = cut(sets.mapInPandas(_sets(hot_words(sets), t), SET))
+    reduced = cut(sets.mapInArrow(_sets(hot_words(sets), t), SET))
     parts = reduced.groupBy("lead").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     grouped = reduced.join(parts, "lead").withColumn("gid", F.xxhash64("lead", F.pmod(F.xxhash64("rec"), F.col("parts"))))
     grouped = cut(grouped.drop("lead", "parts"))

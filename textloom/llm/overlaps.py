@@ -6,11 +6,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.wordsets import ROWS, Near, frame, mixed, near_pairs, sketch, verify, word_sets
+from textloom.llm.wordsets import COUNTS, ROWS, Near, Sets, alike, cell_counts, cell_rows, mixed, near_pairs, pieces, verify, word_sets
 from textloom.plans.lineage import cut, table
 
 SHARE = 0.7
@@ -30,34 +30,36 @@ def run_lengths(size: int, t: float) -> list[int]:
     return sorted({shared_run(u, t) for u in range(size, int(size / t + 1e-9) + 1)})
 
 
-def _suffixes(t: float):
-    """The suffixes of each canonical text that can open a shared run, by their first words.
+def _heads(sets: Sets, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell): the suffixes of each canonical text that can open a shared run, by their first words.
 
     A set in hash order is its canonical text. Of the suffixes only the head of the guaranteed length is kept: sorted by
     it, they are the suffix array down to the depth that is needed, and equal heads stand next to each other in it.
     """
-    lengths: dict[int, list[int]] = {}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parts, rids, sizes, sketches = [], [], [], []
-            for rec, h, train, other in zip(pdf["rec"], pdf["h"], pdf["train"], pdf["other"], strict=True):
-                h = np.asarray(h)
-                heads = []
-                for k in lengths.setdefault(len(h), run_lengths(len(h), t)):
-                    if k <= len(h):
-                        x = h[: len(h) - k + 1]
-                        for i in range(1, k):
-                            x = mixed(x, h[i : len(h) - k + 1 + i])
-                        heads.append(mixed(x, np.full(len(x), k)))
-                cells, s = np.concatenate(heads), sketch(h)
-                for side, there in enumerate((train, other)):
-                    if there:
-                        parts.append((cells, side))
-                        rids.append(rec)
-                        sizes.append(len(h))
-                        sketches.append(s)
-            yield frame(parts, rids, sizes, sketches)
+    rows, cells = [], []
+    for at in alike(np.arange(len(sets.sizes)), sets.sizes):
+        n = int(sets.sizes[at[0]])
+        texts = sets.words[sets.starts[at][:, None] + np.arange(n)]
+        for k in run_lengths(n, t):
+            if k <= n:
+                head = texts[:, : n - k + 1]
+                for i in range(1, k):
+                    head = mixed(head, texts[:, i : n - k + 1 + i])
+                rows.append(np.repeat(at, n - k + 1))
+                cells.append(mixed(head, np.full(head.shape, k)).ravel())
+    return np.concatenate(rows), np.concatenate(cells)
+
+
+def _suffixes(t: float, count: bool = False):
+    """The heads of the training and of the other texts in one table; with count, only the number of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            sets = Sets(batch.column("h"))
+            rows, cells = _heads(sets, t)
+            for side, name in enumerate(("train", "other")):
+                there = batch.column(name).to_numpy(zero_copy_only=False)[rows]
+                yield cell_counts(cells[there]) if count else cell_rows(sets, batch.column("rec"), rows[there], cells[there], side)
 
     return run
 
@@ -77,8 +79,8 @@ def split_overlaps(df: DataFrame, t: float = SHARE, train: str = "train") -> Dat
     members, sets = word_sets(known, "is_train")
     flags = members.groupBy("rec").agg(F.bool_or("is_train").alias("train"), F.bool_or(~F.col("is_train")).alias("other"))
     sets = cut(sets.join(flags, "rec"))
-    rows = sets.mapInPandas(_suffixes(t), ROWS)
-    links = verify(near_pairs(rows, Near(t, sides=True)).where("left != right"), sets.select("rec", "h"), t)
+    rows, counts = sets.mapInArrow(_suffixes(t), ROWS), sets.mapInArrow(_suffixes(t, count=True), COUNTS)
+    links = verify(near_pairs(rows, Near(t, sides=True), counts).where("left != right"), sets.select("rec", "h"), t)
     same = sets.where("train AND other").select(F.col("rec").alias("left"), F.col("rec").alias("right"), F.lit(1.0).alias("share"))
     trained = members.where("is_train").select(F.col("rec").alias("left"), F.col("id").alias("train_id"))
     others = members.where("NOT is_train").select(F.col("rec").alias("right"), F.col("id").alias("other_id"))

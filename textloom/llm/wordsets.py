@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +28,11 @@ HOT_SHARE = 1 / 2000
 #: Overfull cells that are sent to every task; if there are more, they are joined instead.
 LISTED = 20_000
 
+#: Cells of the sets that are put into cells together.
+PIECE = 500_000
+
 ROWS = "cell long, side byte, rid long, size int, s0 long, s1 long, s2 long, s3 long"
+COUNTS = "cell long, n long"
 SKETCH = ("s0", "s1", "s2", "s3")
 
 
@@ -62,12 +65,6 @@ def hot_words(sets: DataFrame) -> dict[int, int]:
     return {r["w"]: r["count"] for r in counted.collect()}
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
-    bits = np.zeros(256, np.uint8)
-    bits[h.astype(np.uint64).astype(np.int64) & 255] = 1
-    return np.packbits(bits).view(np.int64)
-
-
 def mixed(a, b):
     """One 64-bit key of two (arrays of) keys; the order counts."""
     a, b = np.asarray(a, np.int64).view(np.uint64), np.asarray(b, np.int64).view(np.uint64)
@@ -77,47 +74,92 @@ def mixed(a, b):
         return (x ^ (x >> np.uint64(32))).view(np.int64)
 
 
-def ordered(h: np.ndarray, hot: dict[int, int]) -> tuple[np.ndarray, int]:
-    """The set in the order shared by all sets, uncommon words first, and how many of them are not hot."""
-    counts = np.fromiter((hot.get(x, 0) for x in h.tolist()), np.int64, len(h))
-    return h[np.lexsort((h, counts))], int((counts == 0).sum())
-
-
-def prefix_cells(h: np.ndarray, hot: dict[int, int], t: float) -> np.ndarray:
-    """Cells in which a set must meet every set with a word share of at least t.
-
-    Two such sets share at least ceil(t * n) of the n words of either, so their first shared word is among the first
-    n - ceil(t * n) + 1 of each and their second among one more. A word that isn't hot is a cell; a hot one is
-    divided by the shared word after it. Sets that must share only one word keep the hot word itself as well.
-    """
-    w, cold = ordered(h, hot)
-    n = len(w)
-    need = int(np.ceil(t * n - 1e-9))
-    last = n - need + 1
-    cells = [w[: min(cold, last)]]
-    if last > cold:
-        i, j = np.triu_indices(min(last + 1, n) - cold, 1)
-        i, j = i + cold, j + cold
-        keep = i < last
-        cells.append(mixed(w[i[keep]], w[j[keep]]))
-        if need <= 1:
-            cells.append(mixed(w[cold:last], np.full(last - cold, 1)))
-    return np.concatenate(cells)
-
-
-def frame(parts: list[tuple], rids: list[int], sizes: list[int], sketches: list[np.ndarray]) -> pd.DataFrame:
-    """Rows of ROWS: for each record its (cells, side)."""
-    n = np.array([len(c) for c, _ in parts], np.int64)
-    s = np.repeat(np.array(sketches, np.int64).reshape(-1, 4), n, axis=0)
-    return pd.DataFrame(
-        {
-            "cell": np.concatenate([c for c, _ in parts]) if parts else np.zeros(0, np.int64),
-            "side": np.repeat(np.array([x for _, x in parts], np.int8), n),
-            "rid": np.repeat(np.array(rids, np.int64), n),
-            "size": np.repeat(np.array(sizes, np.int32), n),
-        }
-        | {c: s[:, k] for k, c in enumerate(SKETCH)}
-    )
+class Sets:
+    """The word sets of a piece of a batch, one after another in flat arrays, so that numpy works on all of them at once."""
+
+    def __init__(self, h: pa.ListArray):
+        self.sizes = h.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.words = h.flatten().to_numpy(zero_copy_only=False)
+        self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def sketches(self) -> np.ndarray:
+        """(sets, 4): one bit of 256 for each word."""
+        bits = np.zeros((len(self.sizes), 256), np.uint8)
+        bits[self.row, self.words & 255] = 1
+        return np.packbits(bits, axis=1).view(np.int64)
+
+    def ordered(self, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Each set in the order shared by all sets, uncommon words first, and how many of its words are not hot."""
+        words, counts = hot
+        n = np.zeros(len(self.words), np.int64)
+        if len(words):
+            at = np.minimum(np.searchsorted(words, self.words), len(words) - 1)
+            n = np.where(words[at] == self.words, counts[at], 0)
+        return self.words[np.lexsort((self.words, n, self.row))], np.bincount(self.row, n == 0, len(self.sizes)).astype(np.int64)
+
+    def prefix_cells(self, hot: tuple[np.ndarray, np.ndarray], t: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell): the cells in which a set must meet every set with a word share of at least t.
+
+        Two such sets share at least ceil(t * n) of the n words of either, so their first shared word is among the first
+        n - ceil(t * n) + 1 of each and their second among one more. A word that isn't hot is a cell; a hot one is
+        divided by the shared word after it. Sets that must share only one word keep the hot word itself as well.
+        """
+        w, cold = self.ordered(hot)
+        need = np.ceil(t * self.sizes - 1e-9).astype(np.int64)
+        last = self.sizes - need + 1
+        place = np.arange(len(w)) - self.starts[self.row]
+        alone = place < np.minimum(cold, last)[self.row]
+        kept = (need <= 1)[self.row] & (place >= cold[self.row]) & (place < last[self.row])
+        rows, cells = [self.row[alone], self.row[kept]], [w[alone], mixed(w[kept], np.full(kept.sum(), 1))]
+        for at in alike(np.flatnonzero(last > cold), self.sizes, cold):
+            n, c, end = self.sizes[at[0]], cold[at[0]], last[at[0]]
+            i, j = np.triu_indices(min(end + 1, n) - c, 1)
+            i, j = i[i + c < end] + c, j[i + c < end] + c
+            start = self.starts[at][:, None]
+            rows.append(np.repeat(at, len(i)))
+            cells.append(mixed(w[start + i], w[start + j]).ravel())
+        return np.concatenate(rows), np.concatenate(cells)
+
+
+def hot_table(hot: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The hot words in order and their counts."""
+    words = np.array(sorted(hot), np.int64)
+    return words, np.array([hot[w] for w in words.tolist()], np.int64)
+
+
+def alike(rows: np.ndarray, *by: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows in groups of equal values in all of by."""
+    if len(rows):
+        rows = rows[np.lexsort([x[rows] for x in by])]
+        new = np.any([np.diff(x[rows]) != 0 for x in by], axis=0)
+        yield from np.split(rows, np.flatnonzero(new) + 1)
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose sets have about PIECE cells at most (or one set), as long sets have very many."""
+    for batch in batches:
+        if batch.num_rows:
+            n = batch.column("h").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            part = np.cumsum(n * n) // (4 * PIECE)
+            starts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(starts, starts[1:], strict=False):
+                yield batch.slice(a, b - a)
+
+
+def cell_rows(sets: Sets, rec: pa.Array, rows: np.ndarray, cells: np.ndarray, side: int = 0) -> pa.RecordBatch:
+    """A batch of ROWS: each cell with the set that lies in it, set by set, as equal neighbours compress well."""
+    order = np.argsort(rows, kind="stable")
+    rows, cells = rows[order], cells[order]
+    ids, s = rec.to_numpy(zero_copy_only=False), sets.sketches()
+    columns = [cells, np.full(len(cells), side, np.int8), ids[rows], sets.sizes.astype(np.int32)[rows], *(s[rows, k] for k in range(len(SKETCH)))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cell", "side", "rid", "size", *SKETCH])
+
+
+def cell_counts(cells: np.ndarray) -> pa.RecordBatch:
+    """A batch of COUNTS: each cell once with its rows."""
+    cells, n = np.unique(cells, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n)], names=["cell", "n"])
 
 
 class Near:
@@ -154,7 +196,7 @@ def _near_of(x: dict[str, np.ndarray], starts: np.ndarray, lens: np.ndarray, nea
         for k in range(0, len(cells), step):
             at = cells[k : k + step, None] + np.arange(m)
             if near.sides and step == 1:
-                left, right = at[:, x["side"][at[0]] == 0], at[:, x["side"][at[0]] == 1]
+                left, right = at[:, x["mark"][at[0]] & 1 == 0], at[:, x["mark"][at[0]] & 1 == 1]
             else:
                 left = right = at
             rows = max(1, piece // max(1, right.size))
@@ -163,18 +205,20 @@ def _near_of(x: dict[str, np.ndarray], starts: np.ndarray, lens: np.ndarray, nea
                 own = left[:, r : r + rows]
                 c, i, j = np.nonzero(near(_part(x, own), _part(x, other)))
                 a, b = own[c, i], other[c, j]
-                keep = (x["side"][a] == 0) & (x["side"][b] == 1) if near.sides else (a < b) & (x["rid"][a] != x["rid"][b])
+                keep = (x["mark"][a] & 1 == 0) & (x["mark"][b] & 1 == 1) if near.sides else (a < b) & (x["rid"][a] != x["rid"][b])
                 yield a[keep], b[keep]
 
 
 def scan(near: Near):
-    """Compares the rows of each cell; input sorted by (cell, b1, b2), output the pairs that may be near."""
+    """Compares the rows of each cell, sorted by cell; output the pairs that may be near.
+
+    mark is 4 * block + 2 * (whether the cell holds one block) + side."""
 
     def of(x: dict[str, np.ndarray], starts, lens) -> pa.RecordBatch | None:
         found = []
         for a, b in _near_of(x, starts, lens, near):
             if not near.sides:
-                keep = (x["b1"][a] == x["b2"][a]) | (x["own"][a] != x["own"][b])  # two blocks: only across them
+                keep = (x["mark"][a] & 2 > 0) | (x["mark"][a] >> 2 != x["mark"][b] >> 2)  # two blocks: only across them
                 a, b = a[keep], b[keep]
             if not near.unions:
                 na, nb = x["size"][a].astype(float), x["size"][b].astype(float)
@@ -190,13 +234,12 @@ def scan(near: Near):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: dict[str, np.ndarray] | None = None
         for batch in batches:
-            x = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("cell", "b1", "b2", "own", "side", "rid", "size", *SKETCH)}
+            x = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("cell", "mark", "rid", "size", *SKETCH)}
             if not len(x["cell"]):
                 continue
             if rest is not None:
                 x = {n: np.concatenate([rest[n], v]) for n, v in x.items()}
-            new = (np.diff(x["cell"]) != 0) | (np.diff(x["b1"]) != 0) | (np.diff(x["b2"]) != 0)
-            starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(x["cell"])) + 1])
             if len(starts) > 1:
                 out = of(x, starts[:-1], np.diff(starts))
                 if out is not None:
@@ -210,13 +253,16 @@ def scan(near: Near):
     return run
 
 
-def near_pairs(rows: DataFrame, near: Near) -> DataFrame:
+def near_pairs(rows: DataFrame, near: Near, counts: DataFrame | None = None) -> DataFrame:
     """(left, right), once each: pairs of rows(ROWS) that meet in a cell and may be near.
 
+    counts(COUNTS), which may hold a cell in parts, tells the rows of each cell where they are cheaper than the rows.
+
     With sides, left is of side 0 and right of side 1; without, left < right. A cell of more than BLOCK rows is divided
     into blocks, and each pair of blocks is a group of its own, so that no cell is one task's work, however full.
     """
-    counted = rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    counts = rows.select("cell", F.lit(1).alias("n")) if counts is None else counts
+    counted = counts.groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK)
     counted = counted.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     listed = counted.limit(LISTED + 1).collect()
     if len(listed) <= LISTED:
@@ -230,12 +276,11 @@ def near_pairs(rows: DataFrame, near: Near) -> DataFrame:
         b1, b2 = F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))
     else:
         b1, b2 = F.least("own", "other"), F.greatest("own", "other")
-    placed = placed.withColumns({"b1": b1, "b2": b2}).drop("parts", "other")
+    mark = F.col("own") * 4 + (F.col("own") == F.col("other")).cast("int") * 2 + F.col("side")
+    cell = F.when(F.col("parts") == 1, F.col("cell")).otherwise(F.xxhash64("cell", b1, b2))  # should two be the same, more is compared
+    placed = placed.select(cell.alias("cell"), mark.cast("int").alias("mark"), "rid", "size", *SKETCH)
     parts = rows.sparkSession.sparkContext.defaultParallelism * 4
-    return (
-        placed.repartition(parts, "cell", "b1", "b2").sortWithinPartitions("cell", "b1", "b2")
-        .mapInArrow(scan(near), "left long, right long").distinct()
-    )
+    return placed.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(scan(near), "left long, right long").distinct()  # one key: a radix sort
 
 
 def verify(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
