@@ -149,3 +149,45 @@ def test_selection_stats(spark):
     got = pools.selection_stats(base, made)
     assert [r["iteration_count"] for r in got.orderBy("row_id").collect()] == [3, 3, 3, 2, 1, 0]
     assert got.agg(F.sum("selected_count")).first()[0] == 6
+
+
+def words_balanced(texts, alpha, batch):
+    """The ids that X15 keeps of {id: (label, words)}, with each word of a text once."""
+    left, start = dict(texts), None
+    budget = {}
+    while True:
+        n = {}
+        for x, ws in left.values():
+            for w in ws:
+                n[w] = n.get(w, 0) + (1 if x == "Yes" else -1)
+        score = {i: sum(max(n[w] * (1 if x == "Yes" else -1), 0) for w in ws) for i, (x, ws) in left.items()}
+        if start is None:
+            start = score
+            budget = {y: round(alpha * sum(s > 0 for i, s in score.items() if texts[i][0] == y)) for y in ("Yes", "No")}
+        if not any(budget.values()):
+            return set(left)
+        for y in ("Yes", "No"):
+            if budget[y]:
+                top = sorted((-s, i) for i, s in score.items() if s > 0 and texts[i][0] == y)[: min(batch, budget[y])]
+                if not top:
+                    return set(left)
+                budget[y] -= len(top)
+                for _, i in top:
+                    del left[i]
+
+
+@pytest.mark.parametrize(("alpha", "batch", "offer"), [(0.3, 10, 512), (0.5, 3, 4), (1.0, 7, 8)])
+def test_balance_words_counts_anew_after_each_batch(spark, monkeypatch, alpha, batch, offer):
+    rng = np.random.default_rng(7)
+    p = 1 / np.arange(1, 61)
+    texts = {i: ("Yes" if i % 3 == 0 else "No", {int(w) + (i % 3 == 0) * int(rng.integers(4)) for w in rng.choice(60, 1 + i % 9, p=p / p.sum())}) for i in range(300)}
+    df = spark.createDataFrame([(i, x, " ".join(f"w{w}" for w in ws)) for i, (x, ws) in texts.items()], "id long, label string, t string").repartition(3)
+    monkeypatch.setattr(corpus, "OFFER", offer)
+    got = corpus.balance_words(df, "label", "id", corpus.words(F.col("t")), "Yes", "No", alpha, batch)
+    assert {r["id"] for r in got.collect()} == words_balanced(texts, alpha, batch)
+
+
+def test_balance_words_keeps_rows_without_excess(spark):
+    df = spark.createDataFrame([(i, "Yes" if i % 2 else "No", "same words") for i in range(10)] + [(10, "Yes", ""), (11, "Yes", "other")], "id long, label string, t string")
+    got = corpus.balance_words(df, "label", "id", corpus.words(F.col("t")), "Yes", "No", 1.0)
+    assert {r["id"] for r in got.collect()} == set(range(11))

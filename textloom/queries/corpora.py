@@ -150,4 +150,4 @@ def placeholder_free_batches(spark, d):
 @query()
 def balance_by_words(spark, d):
     c = claims(spark, d).where("class_label IS NOT NULL AND Text IS NOT NULL").select("Sentence_id", "class_label", "Text")
-    return co.balance_words(c, "class_label", "Sentence_id", co.words(F.col("Text")), "Yes", "No", 0.2, 3).select("Sentence_id", "class_label")
+    return co.balance_words(c, "class_label", "Sentence_id", co.words(F.col("Text")), "Yes", "No", 0.2).select("Sentence_id", "class_label")
