@@ -191,3 +191,25 @@ def test_balance_words_keeps_rows_without_excess(spark):
     df = spark.createDataFrame([(i, "Yes" if i % 2 else "No", "same words") for i in range(10)] + [(10, "Yes", ""), (11, "Yes", "other")], "id long, label string, t string")
     got = corpus.balance_words(df, "label", "id", corpus.words(F.col("t")), "Yes", "No", 1.0)
     assert {r["id"] for r in got.collect()} == set(range(11))
+
+
+def test_diverse_in_rounds_is_maximin(spark):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(90, 5))
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    g = ["a" if i % 3 else "b" for i in range(87)] + ["c"] * 3
+    df = spark.createDataFrame([(x, i, m[i].tolist()) for i, x in enumerate(g)], "g string, id long, v array<double>").repartition(5)
+    got = similarity.diverse(df, ["g"], 8)
+    for x in "abc":
+        ids = np.array([i for i in range(90) if g[i] == x])
+        want = ids[similarity.maximin(ids, m[ids], 8)].tolist()
+        assert [r["id"] for r in got.where(F.col("g") == x).orderBy("place").collect()] == want
+    assert "InPandas" not in got._jdf.queryExecution().toString()  # no group goes to one task
+
+
+def test_filter_pipeline_sees_all_near_candidates(spark):
+    v = F.when(F.col("id") < 100_000, F.array(F.lit(1.0), F.lit(0.0))).when(F.col("id") < 100_051, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(-1.0), F.lit(0.0)))
+    c = spark.range(200_100).select("id", F.lit("Yes").alias("class_label"), v.alias("v"))
+    refs = spark.createDataFrame([(-1, "Yes", [1.0, 0.0])], "id long, class_label string, v array<double>")
+    got = similarity.filter_pipeline(c, refs, 2).orderBy("place").collect()
+    assert [r["id"] for r in got] == [0, 100_000]  # the second is not among the nearest 100,000

@@ -115,30 +115,74 @@ def maximin(ids: np.ndarray, v: np.ndarray, keep: int) -> list[int]:
     return order[chosen].tolist()
 
 
-def diverse(df: DataFrame, groups: list[str], keep: int, most: int) -> DataFrame:
-    """(groups, id, place): of each group's ``most`` rows with the smallest place_in, a greedy maximin choice of keep.
+def _farthest(chosen: dict[str, tuple[np.ndarray, set]]):
+    """Of each group of a task the row farthest from the chosen ones, ties to the smaller id."""
 
-    The choice is sequential, so a group is one task's work; ``most`` bounds it. df(groups, id, v, place_in)."""
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in groups]
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = maximin(pdf["id"].to_numpy(), np.stack(pdf["v"].to_numpy()), keep)
-        return pdf.iloc[k][[*groups, "id"]].assign(place=range(1, len(k) + 1))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict = {}
+        for pdf in batches:
+            for g, at in pdf.groupby("_g").indices.items():
+                part = pdf.iloc[at]
+                if g in chosen:
+                    m, ids = chosen[g]
+                    part = part[~part["id"].isin(ids)]
+                    if not len(part):
+                        continue
+                    least = np.round(np.minimum(1.0, 1 - (np.stack(part["v"].to_numpy()) @ m.T).max(axis=1)), 9)
+                else:
+                    least = np.ones(len(part))
+                i = np.lexsort((part["id"].to_numpy(), -least))[0]
+                one = (-least[i], part["id"].iloc[i], part["v"].iloc[i])
+                best[g] = min(best.get(g, one), one, key=lambda x: x[:2])
+        yield pd.DataFrame([(g, x[1], -x[0], x[2]) for g, x in best.items()], columns=["_g", "id", "least", "v"])
 
-    bounded = df.where(F.col("place_in") <= most).select(*groups, "id", "v")
-    return bounded.groupBy(*groups).applyInPandas(choose, ", ".join([*fields, "id long", "place int"]))
+    return run
 
 
-def filter_pipeline(candidates: DataFrame, refs: DataFrame, target: int, most: int = 100_000) -> DataFrame:
+def diverse(df: DataFrame, groups: list[str], keep: int) -> DataFrame:
+    """(groups, id, place): a greedy maximin choice of keep rows of each group of df(groups, id, v), as maximin() makes.
+
+    The choice goes in rounds: every task compares its rows with the vectors chosen so far, in one matrix product, and
+    gives its farthest of each group, of which the best is chosen. Rows stay where they are, the lineage is cut once and
+    does not grow, and the driver holds keep vectors of each group. A group of no more than keep rows is taken by id."""
+    from textloom.plans.lineage import cut
+
+    base = cut(df.select(*groups, "id", "v", F.to_json(F.struct(*groups)).alias("_g")))
+    small = {r["_g"] for r in base.groupBy("_g").count().where(F.col("count") <= keep).collect()}
+    chosen: dict[str, tuple[np.ndarray, set]] = {}
+    rows = []
+    for place in range(1, keep + 1):
+        got = base.where(~F.col("_g").isin(*small)).mapInPandas(_farthest(chosen), "_g string, id long, least double, v array<double>")
+        best = got.groupBy("_g").agg(F.max_by(F.struct("id", "v"), F.struct("least", -F.col("id"))).alias("x")).collect()
+        for g, (i, v) in best:
+            m, ids = chosen.get(g, (np.empty((0, len(v))), set()))
+            chosen[g] = np.vstack([m, v]), ids | {i}
+            rows.append((g, i, place))
+    picked = df.sparkSession.createDataFrame(rows, "_g string, id long, place int")
+    few = base.where(F.col("_g").isin(*small)).withColumn("place", F.row_number().over(Window.partitionBy("_g").orderBy("id")))  # keep rows of a group at most
+    return base.join(F.broadcast(picked), ["_g", "id"]).select(*groups, "id", "place").unionByName(few.select(*groups, "id", "place"))
+
+
+def nearest_half(scored: DataFrame) -> DataFrame:
+    """Of scored(class_label, id, sim, mid) the mid rows of the greatest sim of each class, ties to the smaller id; all where
+    mid is negative. A row's place is that within its narrow range of sim plus the rows of all ranges above."""
+    binned = scored.withColumn("_bin", F.coalesce(F.floor(F.round("sim", 9) * 10_000), F.lit(-(1 << 40))))
+    sizes = binned.groupBy("class_label", "_bin").agg(F.count("*").alias("_n"))  # some 20,000 rows a class
+    above = Window.partitionBy("class_label").orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("class_label", "_bin", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_before"))
+    w = Window.partitionBy("class_label", "_bin").orderBy(F.desc(F.round("sim", 9)), "id")
+    placed = binned.join(F.broadcast(before), ["class_label", "_bin"]).where("mid < 0 OR _before < mid").withColumn("_in", F.row_number().over(w))
+    return placed.where("mid < 0 OR _before + _in <= mid").drop("_bin", "_before", "_in")
+
+
+def filter_pipeline(candidates: DataFrame, refs: DataFrame, target: int) -> DataFrame:
     """(class_label, id, place): the candidates nearest to their references, halfway down to target, then the most
-    diverse target of them. Fewer candidates than target are all kept. The greedy step sees the ``most`` nearest of a class,
-    a bound far above the few thousand candidates of a pool."""
+    diverse target of them. Fewer candidates than target are all kept."""
     n = candidates.groupBy("class_label").agg(F.count("*").alias("n"))
     keep = n.select("class_label", F.least("n", F.lit(target) + F.floor((F.col("n") - target) / 2)).alias("mid"))
-    scored = candidates.join(reference_similarity(candidates, refs), "id").join(F.broadcast(keep), "class_label")
-    w = Window.partitionBy("class_label").orderBy(F.desc(F.round("sim", 9)), "id")
-    near = scored.withColumn("place_in", F.row_number().over(w)).where("place_in <= greatest(mid, 0) OR mid < 0")
-    return diverse(near, ["class_label"], target, most)
+    scored = candidates.select("id", "class_label").join(reference_similarity(candidates, refs), "id").join(F.broadcast(keep), "class_label")
+    near = candidates.join(nearest_half(scored).select("id"), "id", "left_semi")
+    return diverse(near, ["class_label"], target)
 
 
 def _nearest(ids: np.ndarray, m: np.ndarray, k: int):

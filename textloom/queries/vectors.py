@@ -109,8 +109,8 @@ def seq_covariates(spark, d):
       GROUP BY c.vec_id ORDER BY round(least(1.0, min(1 - list_dot_product(c.v, k.v))), 9) DESC, c.vec_id LIMIT 1) AS nxt FROM g WHERE g.place < 6))
   SELECT CAST(place AS INT) AS place, vec_id FROM g"""))
 def maximin_select(spark, d):
-    c = _parts(spark, d)[0].where("class_label = 'Yes'").withColumn("place_in", F.lit(1))
-    return sim.diverse(c, ["class_label"], 6, 1).select("place", F.col("id").alias("vec_id"))
+    c = _parts(spark, d)[0].where("class_label = 'Yes'")
+    return sim.diverse(c, ["class_label"], 6).select("place", F.col("id").alias("vec_id"))
 
 
 @query()
