@@ -213,3 +213,27 @@ def test_filter_pipeline_sees_all_near_candidates(spark):
     refs = spark.createDataFrame([(-1, "Yes", [1.0, 0.0])], "id long, class_label string, v array<double>")
     got = similarity.filter_pipeline(c, refs, 2).orderBy("place").collect()
     assert [r["id"] for r in got] == [0, 100_000]  # the second is not among the nearest 100,000
+
+
+def test_nearest_text_compares_with_all_references(spark, monkeypatch):
+    from textloom.queries import corpora
+
+    rng = np.random.default_rng(5)
+    texts = {i: " ".join(f"w{int(k)}" for k in rng.zipf(1.5, 8) if k < 50) for i in range(60)} | {60: "unheard of", 61: "w1 unheard"}
+    real = [i for i in range(60) if i % 2 == 0]
+    table = spark.createDataFrame([(i, 0, 100 + i, 0 if i in real else 1, t, "Yes", "") for i, t in texts.items()], "row_id long, seq long, template_idx long, gen_num long, Text string, class_label string, example string")
+    monkeypatch.setattr(corpora, "templates", lambda s, d: table)
+    monkeypatch.setattr(corpus, "TEXTS", 7)
+    terms = {i: (w := t.split()) + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)] for i, t in texts.items()}
+    df = {}
+    for i in real:
+        for t in set(terms[i]):
+            df[t] = df.get(t, 0) + 1
+    vec = {}
+    for i, ts in terms.items():
+        x = {t: (1 + math.log(ts.count(t))) * (math.log((1 + len(real)) / (1 + df[t])) + 1) for t in set(ts) if t in df}
+        norm = math.sqrt(sum(y * y for y in x.values())) or 1
+        vec[i] = {t: y / norm for t, y in x.items()}
+    want = {i: max(sum(y * vec[r].get(t, 0) for t, y in vec[i].items()) for r in real) for i in texts if i not in real}
+    got = {r["row_id"]: r["sim"] for r in corpora.tfidf_nn_all(spark, "").collect()}
+    assert got == pytest.approx(want, abs=1e-5) and got[60] == 0

@@ -87,6 +87,19 @@ def tfidf_nn(spark, d):
     return co.nearest_text(v.join(made, "row_id", "left_semi"), v.join(real, "row_id", "left_semi"), "row_id").withColumn("sim", F.round("sim", 5))
 
 
+@query()
+def tfidf_nn_all(spark, d):
+    """Unlike tfidf_nn, whose statement names 32 templates, against all real texts, with the idf of those (X2, X5). A text
+    that shares no term with any has 0."""
+    t = templates(spark, d).where("Text IS NOT NULL")
+    w = F.filter(co.words(F.col("Text")), lambda x: F.length(x) > 1)
+    base = t.select("row_id", "gen_num", w.alias("w"))
+    real, made = base.where("gen_num = 0"), base.where("gen_num > 0").select("row_id")
+    v = cut(co.tfidf(base, "row_id", F.concat("w", co.bigrams(F.col("w"))), real))
+    near = co.nearest_text(v.join(made, "row_id", "left_semi"), v.join(real, "row_id", "left_semi"), "row_id")
+    return made.join(near, "row_id", "left").select("row_id", F.round(F.coalesce("sim", F.lit(0.0)), 5).alias("sim"))
+
+
 @query(with_views("claims", f""", p AS (SELECT Sentence_id, class_label, unnest(list_distinct({WORDS})) AS word FROM claims WHERE class_label IS NOT NULL),
   n AS (SELECT word, count_if(class_label = 'Yes') AS a, count_if(class_label = 'No') AS b FROM p GROUP BY 1)
   SELECT Sentence_id, CAST(sum(greatest(CASE class_label WHEN 'Yes' THEN a - b ELSE b - a END, 0)) AS BIGINT) AS excess FROM p JOIN n USING (word) GROUP BY 1"""))
