@@ -237,3 +237,20 @@ def test_nearest_text_compares_with_all_references(spark, monkeypatch):
     want = {i: max(sum(y * vec[r].get(t, 0) for t, y in vec[i].items()) for r in real) for i in texts if i not in real}
     got = {r["row_id"]: r["sim"] for r in corpora.tfidf_nn_all(spark, "").collect()}
     assert got == pytest.approx(want, abs=1e-5) and got[60] == 0
+
+
+def test_farthest_pair_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=(80, 3)) + [1, 0, 0]
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    m[70:] = m[60:70]  # ties
+    df = spark.createDataFrame([("ab"[i % 2], i, x.tolist()) for i, x in enumerate(m)], "class_label string, id long, v array<double>").repartition(3)
+    monkeypatch.setattr(similarity, "BLOCK", 9)
+    out = similarity.farthest_pair(df, ["class_label"])
+    want = {}
+    for i in range(80):
+        for j in range(i + 2, 80, 2):
+            one = (-round(float(1 - m[i] @ m[j]), 9), i, j)
+            want["ab"[i % 2]] = min(want.get("ab"[i % 2], one), one)
+    assert {r["class_label"]: (-r["distance"], r["a"], r["b"]) for r in out.collect()} == want
+    assert "a < b" not in out._jdf.queryExecution().toString() and "<" not in out._jdf.queryExecution().optimizedPlan().toString()  # no self join

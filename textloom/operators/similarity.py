@@ -232,12 +232,54 @@ def drop_lowest(scored: DataFrame, share: float) -> DataFrame:
     return placed.where(F.col("low") > F.bround(F.col("n") * share)).drop("n", "low")
 
 
+def _most_distant(labels: np.ndarray, m: np.ndarray, ids: np.ndarray):
+    """Of each group of a batch its most distant pair (a, b), a < b, with a vector of the block as a."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            best = {}
+            for g, at in pdf.groupby("class_label").indices.items():
+                mine = np.flatnonzero(labels == g)
+                for k in range(0, len(at) if len(mine) else 0, 1024):
+                    part = pdf.iloc[at[k : k + 1024]]
+                    own = part["id"].to_numpy()
+                    far = np.round(1 - m[mine] @ np.stack(part["v"].to_numpy()).T, 9)
+                    far[ids[mine][:, None] >= own] = -np.inf
+                    top = far.max()
+                    if top > -np.inf:
+                        i, j = np.nonzero(far == top)
+                        best[g] = min([*([best[g]] if g in best else []), *zip([-top] * len(i), ids[mine][i].tolist(), own[j].tolist(), strict=True)])
+            yield pd.DataFrame([(g, x[1], x[2], -x[0]) for g, x in best.items()], columns=["class_label", "a", "b", "distance"])
+
+    return run
+
+
 def farthest_pair(df: DataFrame, groups: list[str]) -> DataFrame:
-    """(groups, a, b, distance): the two most distant vectors of each group of a bounded selection pool."""
-    a, b = df.select(*groups, F.col("id").alias("a"), F.col("v").alias("va")), df.select(*groups, F.col("id").alias("b"), F.col("v").alias("vb"))
-    pairs = a.join(b, groups).where("a < b").withColumn("distance", F.round(1 - dot(F.col("va"), F.col("vb")), 9))
-    w = Window.partitionBy(*groups).orderBy(F.desc("distance"), "a", "b")
-    return pairs.withColumn("n", F.row_number().over(w)).where("n = 1").select(*groups, "a", "b", "distance")
+    """(groups, a, b, distance): the two most distant vectors of each group, ties to the smaller ids.
+
+    With a group's mean vector c and r the distance of a vector to it, 1 - a.b is at most 1 + c.c - c.a - c.b + r_a * r_b.
+    The vector least like c and the one farthest from it give a distance; vectors that can't reach it with any other are
+    left out. The remaining ones are compared block by block, each block one matrix product with every batch, of which
+    only the most distant pair is kept."""
+    from textloom.plans.lineage import cut
+
+    v = F.col("v")
+    base = cut(df.dropna(subset=groups).select("id", "v", F.to_json(F.struct(*groups)).alias("class_label")))
+    mean = centroids(base, ["class_label"]).select("class_label", "mean", dot(F.col("mean"), F.col("mean")).alias("_c"))
+    x = base.join(F.broadcast(mean), "class_label").withColumn("_ca", dot(v, F.col("mean")))  # one mean for each group
+    x = cut(x.withColumn("_r", F.sqrt(F.greatest(dot(v, v) - 2 * F.col("_ca") + F.col("_c"), F.lit(0.0)))).drop("mean"))
+    most = x.groupBy("class_label").agg(F.max(-F.col("_ca")).alias("_m"), F.max("_r").alias("_far"), F.min_by(F.struct("id", "v"), F.struct("_ca", "id")).alias("_p"))
+    reached = x.join(F.broadcast(most), "class_label").where("id <> _p.id").groupBy("class_label").agg(F.max(1 - dot(v, F.col("_p.v"))).alias("_d"))
+    bound = 1 + F.col("_c") - F.col("_ca") + F.col("_m") + F.col("_r") * F.col("_far")
+    able = cut(x.join(F.broadcast(most.drop("_p").join(reached, "class_label")), "class_label").where(bound >= F.col("_d") - 1e-6).select("id", "class_label", "v"))
+    best: dict = {}
+    for labels, m, ids in _blocks(able):
+        pairs = able.where(F.col("id") > int(ids[0])).mapInPandas(_most_distant(np.array(labels), m, ids), "class_label string, a long, b long, distance double")
+        for g, one in pairs.groupBy("class_label").agg(F.min(F.struct(-F.col("distance"), "a", "b")).alias("x")).collect():
+            best[g] = min(best.get(g, tuple(one)), tuple(one))
+    found = df.sparkSession.createDataFrame([(g, x[1], x[2], -x[0]) for g, x in best.items()], "class_label string, a long, b long, distance double")
+    named = df.dropna(subset=groups).select(*groups, F.to_json(F.struct(*groups)).alias("_g")).distinct()
+    return named.join(F.broadcast(found.withColumnRenamed("class_label", "_g")), "_g").select(*groups, "a", "b", "distance")
 
 
 def contrast(df: DataFrame, label: str) -> DataFrame:

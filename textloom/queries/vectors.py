@@ -73,6 +73,14 @@ def farthest_pair(spark, d):
     return sim.farthest_pair(_parts(spark, d)[1], ["class_label"]).withColumn("distance", F.round("distance", 6))
 
 
+@query(with_views("vectors", """, p AS (SELECT a.class_label, a.vec_id AS a, b.vec_id AS b, round(1 - list_dot_product(a.v, b.v), 9) AS distance FROM vectors a JOIN vectors b ON a.class_label = b.class_label AND a.vec_id < b.vec_id)
+  SELECT class_label, a, b, round(distance, 6) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY class_label ORDER BY distance DESC, a, b) = 1"""))
+def farthest_pair_all(spark, d):
+    """Unlike farthest_pair, whose statement names the references, over all vectors of a class (X17)."""
+    v = vectors(spark, d).select(F.col("vec_id").alias("id"), "class_label", "v")
+    return sim.farthest_pair(v, ["class_label"]).withColumn("distance", F.round("distance", 6))
+
+
 KNN = """n AS (SELECT q.vec_id, q.class_label, o.class_label AS other FROM vectors q JOIN vectors o ON q.vec_id <> o.vec_id WHERE q.vec_id % 100 = 0
   QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, o.v), 9) DESC, o.vec_id) <= 15),
 o AS (SELECT vec_id, class_label, avg(CAST(other <> class_label AS INT)) AS score FROM n GROUP BY 1, 2)"""
