@@ -25,8 +25,8 @@ def share(a, b):
     return len(a & b) / len(a | b) if a and b else 0.0
 
 
-def variants(n, seed=7):
-    """Texts in groups of edited copies, of all lengths, with nulls, blanks and one very long text."""
+def variants(n, seed=7, mixed=1.0):
+    """Texts in groups of edited copies, of all lengths, with nulls, blanks and one very long text; a share is in another order."""
     rnd = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(300)] + ["the", "of", "a"] * 5
     out = [None, "", " ?! ", "The the THE", "a", "A.", "long " + " ".join(f"x{i}" for i in range(4000)), "long " + " ".join(f"x{i}" for i in range(4100))]
@@ -34,7 +34,8 @@ def variants(n, seed=7):
         base = [rnd.choice(vocabulary) for _ in range(rnd.choice([1, 2, 3, 5, 8, 15, 22, 30, 60]))]
         for _ in range(rnd.choice([1, 2, 4])):
             t = [rnd.choice(vocabulary) if rnd.random() < rnd.choice([0, 0.05, 0.15, 0.3]) else w for w in base]
-            rnd.shuffle(t)
+            if mixed == 1.0 or rnd.random() < mixed:
+                rnd.shuffle(t)
             out.append(" ".join(t))
     return list(enumerate(out[:n], 1))
 
@@ -77,17 +78,97 @@ def test_near_edits_lose_no_pair(spark):
     assert pairs(edits.near_rows(spark.createDataFrame(texts, "id long, text string")), "row_a", "row_b") == brute(texts, 0.6) - equal
 
 
-def test_split_overlaps_lose_no_pair(spark):
-    texts = variants(400, 9)
+def longest_run(a, b):
+    """Words of the longest span that two texts share, in order."""
+    a, b = (WORD.findall((x or "").lower()) for x in (a, b))
+    best, before = 0, [0] * (len(b) + 1)
+    for x in a:
+        now = [0] * (len(b) + 1)
+        for j, y in enumerate(b):
+            if x == y:
+                now[j + 1] = before[j] + 1
+                best = max(best, now[j + 1])
+        before = now
+    return best
+
+
+@pytest.mark.parametrize(("block", "listed"), [(4096, 20_000), (8, 20_000), (8, 0)])  # the last two: cells are divided, and joined instead of sent
+def test_split_overlaps_find_all_pairs_with_a_shared_span(spark, monkeypatch, block, listed):
+    monkeypatch.setattr(wordsets, "BLOCK", block)
+    monkeypatch.setattr(wordsets, "LISTED", listed)
+    texts = variants(400, 9, 0.2)
     split = {i: ("train", "dev", "test", None)[i % 4] for i, _ in texts}
     df = spark.createDataFrame([(i, split[i], x, "clash") for i, x in texts] * 2, "id long, split string, text string, rec string")
-    want = {(a, b) if split[a] == "train" else (b, a) for a, b in brute(texts, 0.7) if None not in (split[a], split[b]) and (split[a] == "train") != (split[b] == "train")}
-    assert pairs(overlaps.split_overlaps(df), "train_id", "other_id") == want
+    text, want = dict(texts), set()
+    for a, b in brute(texts, 0.7):
+        if None not in (split[a], split[b]) and (split[a] == "train") != (split[b] == "train"):
+            u = len(words(text[a]) | words(text[b]))
+            if longest_run(text[a], text[b]) >= overlaps.least_span(u, 0.7):
+                want.add((a, b) if split[a] == "train" else (b, a))
+    assert len(want) > 50 and pairs(overlaps.split_overlaps(df), "train_id", "other_id") == want
+
+
+def test_edits_in_order_are_always_found(spark):
+    rnd = random.Random(4)
+    rows = []
+    for i in range(150):
+        base = [f"w{rnd.randrange(4000)}" for _ in range(rnd.choice([1, 2, 3, 4, 6, 9, 14, 30, 55]))]
+        other = [w for w in base for w in ([w, f"n{rnd.randrange(99)}"] if rnd.random() < 0.06 else [w]) if rnd.random() > 0.06]
+        rows += [(2 * i, "train", " ".join(base)), (2 * i + 1, "dev", " ".join(other))]
+    got = pairs(overlaps.split_overlaps(spark.createDataFrame(rows, "id long, split string, text string")), "train_id", "other_id")
+    of = {i: s for i, s, _ in rows}
+    want = {(a, b) if of[a] == "train" else (b, a) for a, b in brute([(i, x) for i, _, x in rows], 0.7) if of[a] != of[b]}
+    assert len(want) > 50 and got == want
+
+
+def test_spans_merge_to_coverage(spark):
+    a = [f"w{i}" for i in range(40)]
+    b = a[:10] + ["x"] + a[11:30] + ["y", "z"] + a[32:]
+    df = spark.createDataFrame([(1, "train", " ".join(a)), (2, "dev", " ".join(b)), (3, "dev", "A b, c"), (4, "train", "a B c")], "id long, split string, text string")
+    got = {(r["train_id"], r["other_id"]): round(r["coverage"], 6) for r in overlaps.split_overlaps(df).collect()}
+    assert got == {(1, 2): round(37 / 40, 6), (4, 3): 1.0}
+    one = spark.createDataFrame([([(0, 4), (2, 8), (20, 4)],), ([(3, 4)],)], "x array<struct<at:int,n:int>>")
+    assert [r[0] for r in one.select(overlaps.merged(F.col("x"))).collect()] == [14, 4]
 
 
 def test_guaranteed_runs():
     assert [overlaps.shared_run(u, 0.7) for u in (1, 2, 3, 10, 21, 60)] == [1, 2, 3, 2, 3, 3]
-    assert overlaps.run_lengths(50, 0.7) == [3] and overlaps.run_lengths(1, 0.7) == [1]
+    assert overlaps.spans_of(50, 0.7) == [4] and overlaps.spans_of(1, 0.7) == [1] and overlaps.spans_of(6, 0.7) == [2, 3] and overlaps.spans_of(50, 0.7) == [4]
+
+
+def dbscan(texts, t, least):
+    """{id: smallest core id of its cluster} of brute force; a border record joins its smallest core neighbour."""
+    s = {i: words(x) for i, x in texts if words(x)}
+    near = {i: {j for j in s if j != i and share(s[i], s[j]) >= t} for i in s}
+    core = {i for i in s if len(near[i]) + 1 >= least}
+    label = {}
+    for i in sorted(core):
+        if i not in label:
+            todo = [i]
+            while todo:
+                j = todo.pop()
+                if j not in label:
+                    label[j] = i
+                    todo += near[j] & core
+    return label, near, core
+
+
+@pytest.mark.parametrize("least", [2, 3, 4, 6])
+def test_density_clusters_by_brute_force(spark, least):
+    texts = variants(300, 12)
+    members, _ = clusters.density_clusters(spark.createDataFrame(texts, "id long, text string"), 0.5, least)
+    rows = members.collect()
+    got, rec = {r["id"]: r["cluster"] for r in rows}, {r["id"]: r["rec"] for r in rows}
+    label, near, core = dbscan(texts, 0.5, least)
+    assert len(core) > 20
+    for i in got:
+        if i in core:  # the same partition of the core points
+            assert {j for j in core if got[j] == got[i]} == {j for j in core if label[j] == label[i]}
+        elif near[i] & core:
+            assert got[i] in {got[j] for j in near[i] & core}
+        else:
+            assert got[i] == rec[i]
+    assert any(i not in core and near[i] & core for i in got) or least == 2
 
 
 def test_found_on_given_tables(spark, duck):

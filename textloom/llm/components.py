@@ -11,30 +11,43 @@ from pyspark.sql import functions as F
 from textloom.plans.lineage import cut
 
 
+#: Nodes of the local clusters that a task holds at once.
+NODES = 1_000_000
+
+
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links of one batch as a forest: each node with the smallest node of its local cluster."""
-    for pdf in batches:
-        up: dict[int, int] = {}
+    """The links of a task as a forest: each node with the smallest node of its local cluster.
+
+    A task with very many nodes gives several forests, which are merged like those of several tasks."""
+    up: dict[int, int] = {}
 
-        def root(x: int) -> int:
-            while up.setdefault(x, x) != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
 
+    def out() -> pd.DataFrame:
+        nodes = list(up)
+        found = pd.DataFrame({"u": nodes, "v": [root(x) for x in nodes]}, dtype="int64")
+        return found[found.u != found.v]
+
+    for pdf in batches:
         for a, b in zip(pdf["left"].tolist(), pdf["right"].tolist(), strict=True):
             a, b = root(a), root(b)
             if a != b:
                 up[max(a, b)] = min(a, b)
-        nodes = list(up)
-        out = pd.DataFrame({"u": nodes, "v": [root(x) for x in nodes]})
-        yield out[out.u != out.v]
+        if len(up) > NODES:
+            yield out()
+            up.clear()
+    yield out()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label): label is the smallest node linked with node through any chain of links(left, right).
 
-    Each task first merges its own links into local clusters; then every round hangs each node's neighbours under the
+    Each task first merges its own links into local clusters (links are best partitioned so that a cluster's lie together);
+    then every round hangs each node's neighbours under the
     smallest of them, from both sides, until nothing changes: a number of rounds in the logarithm of the longest chain.
     Each round is written to the checkpoint folder, so a lost executor costs one round at most. Empty links give an
     empty result; loops and repeated links change nothing.

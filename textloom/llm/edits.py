@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
-from textloom.llm.wordsets import SKETCH, Near, Sets, hot_table, hot_words, mixed, near_pairs, pieces, verify, word_sets
+from textloom.llm.wordsets import SALTS, SKETCH, Near, Sets, hot_table, hot_words, mixed, near_pairs, pieces, verify, word_sets
 from textloom.plans.lineage import cut, table
 
 SHARE = 0.6
@@ -53,9 +53,11 @@ def near_edits(sets: DataFrame, t: float) -> DataFrame:
     meets the groups that need one of its tokens, and opens those of which the union leaves room for a share of t.
     """
     reduced = cut(sets.mapInArrow(_sets(hot_words(sets), t), SET))
-    parts = reduced.groupBy("lead").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    grouped = reduced.join(parts, "lead").withColumn("gid", F.xxhash64("lead", F.pmod(F.xxhash64("rec"), F.col("parts"))))
-    grouped = cut(grouped.drop("lead", "parts"))
+    parts = reduced.groupBy("lead").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")).where("parts > 1")
+    salted = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a lead of very many sets is no one task's
+    placed = reduced.withColumn("salt", F.pmod(F.xxhash64("rec", F.lit(1)), F.lit(SALTS)).cast("int")).join(salted, ["lead", "salt"], "left")
+    grouped = placed.withColumn("gid", F.xxhash64("lead", F.pmod(F.xxhash64("rec"), F.coalesce("parts", F.lit(1)))))
+    grouped = cut(grouped.drop("lead", "parts", "salt"))
     unions = grouped.groupBy("gid").agg(F.min("size").alias("size"), *[F.bit_or(c).alias(c) for c in SKETCH])
     matrix = grouped.select("gid", F.explode("cells").alias("cell")).distinct().join(unions, "gid")
     queries = grouped.select(F.explode("cells").alias("cell"), F.lit(0).cast("byte").alias("side"), F.col("rec").alias("rid"), "size", *SKETCH)

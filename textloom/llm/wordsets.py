@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from textloom.plans.lineage import cut, spread
@@ -27,6 +27,10 @@ CELL = 2000
 HOT_SHARE = 1 / 2000
 #: Overfull cells that are sent to every task; if there are more, they are joined instead.
 LISTED = 20_000
+#: Parts in which the rows of a full cell are joined where full cells are too many to be sent.
+SALTS = 64
+#: Rows that a task compares, about; the number of tasks grows with the rows.
+TASK = 500_000
 
 #: Cells of the sets that are put into cells together.
 PIECE = 500_000
@@ -122,6 +126,25 @@ class Sets:
         return np.concatenate(rows), np.concatenate(cells)
 
 
+def _homes(hot: dict[int, int]):
+    known = hot_table(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            sets = Sets(batch.column("h"))
+            w, cold = sets.ordered(known)
+            first, second = w[sets.starts], w[sets.starts + np.minimum(1, sets.sizes - 1)]
+            home = np.where(cold > 0, first, mixed(first, second))
+            yield pa.RecordBatch.from_arrays([batch.column("rec"), pa.array(home)], names=["rec", "home"])
+
+    return run
+
+
+def homes(sets: DataFrame, hot: dict[int, int]) -> DataFrame:
+    """(rec, home): the cell of each set's first word, which isn't hot where the set has another."""
+    return sets.mapInArrow(_homes(hot), "rec long, home long")
+
+
 def hot_table(hot: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """The hot words in order and their counts."""
     words = np.array(sorted(hot), np.int64)
@@ -253,40 +276,52 @@ def scan(near: Near):
     return run
 
 
-def near_pairs(rows: DataFrame, near: Near, counts: DataFrame | None = None) -> DataFrame:
-    """(left, right), once each: pairs of rows(ROWS) that meet in a cell and may be near.
+def divided(rows: DataFrame, counts: DataFrame, sides: bool) -> DataFrame:
+    """rows with the cells of more than BLOCK rows divided, and the column mark of scan().
 
-    counts(COUNTS), which may hold a cell in parts, tells the rows of each cell where they are cheaper than the rows.
-
-    With sides, left is of side 0 and right of side 1; without, left < right. A cell of more than BLOCK rows is divided
-    into blocks, and each pair of blocks is a group of its own, so that no cell is one task's work, however full.
+    A full cell is divided into blocks by the hash of rid, and each pair of blocks becomes a group of its own, so that no
+    cell is one task's work, however full. counts(COUNTS) may hold a cell in parts. Full cells are sent to every task up to
+    LISTED of them; beyond, they are joined by cell and one of SALTS parts of its rows, so that a full cell is never one
+    task's rows before it is divided either. The number of tasks follows from the rows counted.
     """
-    counts = rows.select("cell", F.lit(1).alias("n")) if counts is None else counts
-    counted = counts.groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK)
+    seen = Observation()
+    counted = counts.observe(seen, F.sum("n").alias("rows")).groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK)
     counted = counted.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     listed = counted.limit(LISTED + 1).collect()
     if len(listed) <= LISTED:
-        full = F.broadcast(rows.sparkSession.createDataFrame(listed, "cell long, parts int"))
+        placed = rows.join(F.broadcast(rows.sparkSession.createDataFrame(listed, "cell long, parts int")), "cell", "left")
     else:
-        full = counted
-    placed = rows.join(full, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        salted = counted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        placed = rows.withColumn("salt", F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(SALTS)).cast("int")).join(salted, ["cell", "salt"], "left").drop("salt")
+    placed = placed.withColumn("parts", F.coalesce("parts", F.lit(1)))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    if near.sides:
+    if sides:
         b1, b2 = F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))
     else:
         b1, b2 = F.least("own", "other"), F.greatest("own", "other")
-    mark = F.col("own") * 4 + (F.col("own") == F.col("other")).cast("int") * 2 + F.col("side")
+    mark = F.col("own") * 4 + (F.col("own") == F.col("other")).cast("int") * 2 + (F.col("side") if sides else F.lit(0))
     cell = F.when(F.col("parts") == 1, F.col("cell")).otherwise(F.xxhash64("cell", b1, b2))  # should two be the same, more is compared
-    placed = placed.select(cell.alias("cell"), mark.cast("int").alias("mark"), "rid", "size", *SKETCH)
-    parts = rows.sparkSession.sparkContext.defaultParallelism * 4
-    return placed.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(scan(near), "left long, right long").distinct()  # one key: a radix sort
+    placed = placed.select(cell.alias("cell"), mark.cast("int").alias("mark"), *[c for c in rows.columns if c != "cell"])
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism * 4, (seen.get["rows"] or 0) // TASK)
+    return placed.repartition(tasks, "cell")
+
+
+def near_pairs(rows: DataFrame, near: Near, counts: DataFrame | None = None) -> DataFrame:
+    """(left, right), once each: pairs of rows(ROWS) that meet in a cell and may be near.
+
+    counts(COUNTS) tells the rows of each cell where they are cheaper than the rows. With sides, left is of side 0 and
+    right of side 1; without, left < right.
+    """
+    counts = rows.select("cell", F.lit(1).alias("n")) if counts is None else counts
+    placed = divided(rows, counts, near.sides).select("cell", "mark", "rid", "size", *SKETCH)
+    return placed.sortWithinPartitions("cell").mapInArrow(scan(near), "left long, right long").distinct()  # one key: a radix sort
 
 
-def verify(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """(left, right, share) of the pairs of records whose word share is at least t."""
+def verify(pairs: DataFrame, sets: DataFrame, t: float, *keep: str) -> DataFrame:
+    """(left, right, share, *keep) of the pairs of records whose word share is at least t."""
     a, b = sets.select(F.col("rec").alias("left"), F.col("h").alias("ha")), sets.select(F.col("rec").alias("right"), F.col("h").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
     joined = pairs.join(a, "left").join(b, "right").withColumn("both", both)
     joined = joined.withColumn("share", F.col("both") / (F.size("ha") + F.size("hb") - F.col("both")))
-    return joined.where(F.col("share") >= t).select("left", "right", "share")
+    return joined.where(F.col("share") >= t).select("left", "right", "share", *keep)
