@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.wordsets import COUNTS, SKETCH, Sets, alike, cell_counts, divided, mixed, pieces, verify
+from textloom.llm.wordsets import COUNTS, Near, Sets, meeting, alike, cell_counts, divided, mixed, pieces, verify
 from textloom.plans.lineage import cut, spread, table
 
 SHARE = 0.7
@@ -101,53 +101,39 @@ def _suffixes(t: float, count: bool = False):
 TRAIN, OTHER = 1, 2
 
 
-def _common(x: dict[str, np.ndarray]) -> np.ndarray:
-    """For each suffix the words that it has in common with the one before it in the array, from ``least`` on."""
-    n = len(x["cell"])
-    if not n:
-        return np.zeros(0, np.int8)
-    tail = np.stack([x["t0"], x["t1"]], axis=1).view(np.int32)
-    same = np.zeros((n, BEYOND), bool)
-    same[1:] = (tail[1:] == tail[:-1]) & (tail[1:] != 0)
-    return (x["least"] + np.logical_and.accumulate(same, axis=1).sum(axis=1)).astype(np.int8)
+def _common(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The words that suffixes of one cell have in common, measured up to BEYOND after the first."""
+    tail = np.stack([x["t0"], x["t1"]], axis=1)
+    ta, tb = (np.ascontiguousarray(tail[i]).view(np.int32) for i in (a, b))
+    return (x["least"][a] + np.logical_and.accumulate((ta == tb) & (ta != 0), axis=1).sum(axis=1)).astype(np.int32)
 
 
-def _walk(x: dict[str, np.ndarray], t: float) -> Iterator[pa.RecordBatch]:
+def _shared(x: dict[str, np.ndarray], near: Near) -> Iterator[pa.RecordBatch]:
     """Spans of whole cells of the sorted suffix array.
 
-    From each suffix the array is walked down as long as the cell lasts; the common prefix of two suffixes is the least
-    common prefix on the way. Of a span that goes on to the left only every BEYOND-th place is given, as those overlap."""
-    common, s = _common(x), [x[c].view(np.uint64) for c in SKETCH]
-    at = np.arange(len(x["cell"]) - 1)
-    least = common[1:].copy()
-    for step in range(1, len(x["cell"])):
-        at, least = at[: np.searchsorted(at, len(x["cell"]) - step)], least[: np.searchsorted(at, len(x["cell"]) - step)]
-        keep = x["cell"][at] == x["cell"][at + step]
-        at, least = at[keep], least[keep]
-        if not len(at):
-            return
-        least = np.minimum(least, common[at + step])
-        a, b = at, at + step
+    Suffixes of both sides that stand in one cell share its words; of those whose texts may be near, the common prefix
+    is measured. Of a span that goes on to the left only every BEYOND-th place is given, as those overlap."""
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(x["cell"])) + 1])
+    lens = np.diff(np.append(starts, len(x["cell"])))
+    both = np.bitwise_or.reduceat(x["flags"], starts) == TRAIN | OTHER
+    for a, b in meeting(x, starts[both], lens[both], near):
         fa, fb = x["flags"][a], x["flags"][b]
-        split = (x["mark"][a] & 2 > 0) | (x["mark"][a] >> 2 != x["mark"][b] >> 2)  # two blocks: only across them
-        use = ((fa & TRAIN & (fb >> 1)) | (fb & TRAIN & (fa >> 1))).astype(bool) & split & (x["rid"][a] != x["rid"][b])
+        use = (x["mark"][a] & 2 > 0) | (x["mark"][a] >> 2 != x["mark"][b] >> 2)  # two blocks: only across them
+        use &= ((fa & (fb >> 1)) | (fb & (fa >> 1))) & TRAIN > 0
         use &= (x["before"][a] != x["before"][b]) | (x["before"][a] == 0) | (x["at"][a] % BEYOND == 0) | (x["at"][b] % BEYOND == 0)
-        a, b, n = a[use], b[use], least[use]
+        a, b = a[use], b[use]
         if not len(a):
             continue
-        bits = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int16) for w in s)
-        near = bits <= (x["size"][a] + x["size"][b]) * ((1 - t) / (1 + t)) + 1e-4
-        a, b, n = a[near], b[near], n[near]
+        n = _common(x, a, b)
         for i, j in ((a, b), (b, a)):
             one = (x["flags"][i] & TRAIN > 0) & (x["flags"][j] & OTHER > 0)
-            if one.any():
-                columns = [x["rid"][i[one]], x["rid"][j[one]], x["at"][i[one]], x["at"][j[one]], n[one].astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in SPANS.split(", ")])
+            columns = [x["rid"][i[one]], x["rid"][j[one]], x["at"][i[one]], x["at"][j[one]], n[one]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in SPANS.split(", ")])
 
 
 def _spans(t: float):
     """The array of a partition, cell by cell; batches end at the end of a cell."""
-    names = ["mark", *(c.split()[0] for c in SUFFIX.split(", "))]
+    names, near = ["mark", *(c.split()[0] for c in SUFFIX.split(", "))], Near(t, sides=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: dict[str, np.ndarray] | None = None
@@ -160,10 +146,10 @@ def _spans(t: float):
             new = np.flatnonzero(np.diff(x["cell"]))
             last = int(new[-1]) + 1 if len(new) else 0
             if last:
-                yield from _walk({n: v[:last] for n, v in x.items()}, t)
+                yield from _shared({n: v[:last] for n, v in x.items()}, near)
             rest = {n: v[last:].copy() for n, v in x.items()}
         if rest is not None:
-            yield from _walk(rest, t)
+            yield from _shared(rest, near)
 
     return run
 
@@ -173,9 +159,9 @@ def shared_spans(texts: DataFrame, t: float) -> DataFrame:
 
     w are the words in the order of the text, h its different words, flags 1 for training, 2 for other, 3 for both. The
     texts of a partition are concatenated; their suffixes are partitioned by their first words and sorted, which makes
-    each partition a part of the suffix array; neighbours' common prefixes are measured, and where suffixes of both
-    sides stand together with a common prefix long enough, the span is given, unless the sketches of the two texts
-    show that their word share is below t. No other pair is left out.
+    each partition a part of the suffix array; where suffixes of both sides stand together, their common prefix is measured
+    and the span is given, unless the sketches of the two texts show that their word share is below t. No other pair is
+    left out.
     """
     rows, counts = texts.mapInArrow(_suffixes(t), SUFFIX), texts.mapInArrow(_suffixes(t, count=True), COUNTS)
     return divided(rows, counts, sides=False).sortWithinPartitions("cell", "t0", "t1").mapInArrow(_spans(t), SPANS)

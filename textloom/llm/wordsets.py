@@ -210,7 +210,7 @@ def _part(x: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]:
     return {"size": x["size"][at], "s": [x[c].view(np.uint64)[at] for c in SKETCH]}
 
 
-def _near_of(x: dict[str, np.ndarray], starts: np.ndarray, lens: np.ndarray, near: Near) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def meeting(x: dict[str, np.ndarray], starts: np.ndarray, lens: np.ndarray, near: Near) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(a, b): positions of the pairs of rows of one cell that may be near, compared in pieces of bounded size."""
     piece = 500_000
     for m in np.unique(lens[lens > 1]):
@@ -239,7 +239,7 @@ def scan(near: Near):
 
     def of(x: dict[str, np.ndarray], starts, lens) -> pa.RecordBatch | None:
         found = []
-        for a, b in _near_of(x, starts, lens, near):
+        for a, b in meeting(x, starts, lens, near):
             if not near.sides:
                 keep = (x["mark"][a] & 2 > 0) | (x["mark"][a] >> 2 != x["mark"][b] >> 2)  # two blocks: only across them
                 a, b = a[keep], b[keep]
