@@ -248,6 +248,27 @@ def test_copies_by_brute_force(spark, duck):
     assert Counter(r["copies"] for r in copies.p4_ledger(spark, SMALL).collect()) == Counter(map(len, groups.values()))
 
 
+def test_ledger_lasts_and_counts_a_batch_once(spark, tmp_path):
+    def batch(*texts):
+        return copies.keyed(spark.createDataFrame(list(texts), "id long, text string"))
+
+    def now(s):
+        return {(r["copies"], r["kept_id"]) for r in copies.Ledger(s, f"{tmp_path}/l").read().collect()}
+
+    ledger = copies.Ledger(spark, f"{tmp_path}/l", buckets=3)
+    assert ledger.read().count() == 0
+    assert ledger.add("monday", batch((5, "A b"), (6, "a, B!"), (7, "c")))
+    assert not ledger.add("monday", batch((5, "A b")))  # delivered again
+    other = copies.Ledger(spark.newSession(), f"{tmp_path}/l")  # another session goes on
+    assert other.add("tuesday", batch((2, "ab"), (9, "d"))) and now(spark) == {(3, 2), (1, 7), (1, 9)}
+    assert {r["buckets"] for r in other.commits().collect()} == {3}
+    copies.in_buckets(batch((1, "x")), 3).write.parquet(f"{tmp_path}/l/v3")  # a version that was never committed
+    assert now(spark) == {(3, 2), (1, 7), (1, 9)}
+    assert other.add("wednesday", batch((1, "c"))) and now(spark) == {(3, 2), (2, 1), (1, 9)}
+    other.compact()
+    assert now(spark) == {(3, 2), (2, 1), (1, 9)} and ledger.add("thursday", batch()) and now(spark) == {(3, 2), (2, 1), (1, 9)}
+
+
 def test_ledger_batches_add_up(spark):
     one = spark.createDataFrame([(5, 0, "k"), (3, 0, "k"), (9, 1, "m")], "id long, bucket int, key string")
     empty = spark.createDataFrame([], copies.LEDGER)
@@ -265,6 +286,27 @@ def test_sample_meets_quotas(spark):
     assert s.select("row_id").distinct().count() == 18
 
 
+@pytest.mark.parametrize("held", [1_000_000, 5])
+def test_reservoirs_are_whole_and_uniform(spark, monkeypatch, held):
+    monkeypatch.setattr(quotas, "HELD", held)
+    rows = [(i, "r", "yes", f"t{i % 50}") for i in range(600)] + [(1000 + i, "r", "yes", "t7") for i in range(900)] + [(i, "s", "no", f"u{i}") for i in range(3)]
+    pool = spark.createDataFrame(rows, "row_id long, run string, class_label string, Text string").repartition(6)
+    drawn = Counter()
+    for seed in range(12):
+        got = quotas.reservoirs(pool, 10, seed).collect()
+        assert Counter(r["run"] for r in got) == {"r": 10, "s": 3}
+        drawn.update(r["row_id"] for r in got if r["run"] == "r")
+    assert set(drawn) <= set(range(50)) and len(drawn) > 35 and max(drawn.values()) <= 8  # first ids, and a hot text no likelier
+    few, many = (set(pairs(quotas.reservoirs(pool, n, 1), "run", "row_id")) for n in (5, 20))
+    assert few < many
+
+
+def test_exhausted_by_reservoirs_is_by_counting(spark):
+    pool, target = quotas._tables(spark, SMALL)
+    by_count = pairs(quotas.quotas(pool, target).where("needed > available"), "run", "class_label", "needed", "available")
+    assert pairs(quotas.exhausted(pool, target), "run", "class_label", "needed", "held") == by_count
+
+
 def test_tokens_equal_the_library(spark, duck):
     from tokenizers import Tokenizer
 
@@ -306,9 +348,26 @@ def test_longest_match_and_passes(spark, monkeypatch):
     want = {(1, 10, 5, 1, 0), (2, 10, 3, 0, 0), (1, 11, 3, 2, 0)}
     names = ("doc_id", "item_id", "n_words", "doc_word", "item_word")
     assert pairs(leaks.find_leaks(docs, items, 3), *names) == want
-    monkeypatch.setattr(leaks, "ITEM_CHARS", 4)
+    monkeypatch.setattr(leaks, "ITEM_WORDS", 4)
     monkeypatch.setattr(leaks, "SHARD", 3)
-    assert pairs(leaks.find_leaks(docs, items, 3), *names) == want
+    assert pairs(leaks.find_leaks(docs, items, 3), *names) == want  # stored arrays, several portions
+    arrays = leaks.training_arrays(docs, 3)
+    assert arrays.count() > 1 and pairs(leaks.find_leaks(docs, items.where("id = 11"), 3, arrays), *names) == {x for x in want if x[1] == 11}
+
+
+def test_suffix_array_is_sorted():
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    for depth in (1, 2, 3, 5, 8):
+        w = rnd.integers(0, 3, 400)
+        w[rnd.integers(0, 400, 20)] = leaks.END
+        sa = leaks.suffix_array(w, depth).tolist()
+        runs = [tuple(w[i : i + depth]) for i in sa]
+        assert runs == sorted(runs) and sorted(sa) == leaks.whole(w, depth).tolist()
+        low, high = leaks.bounds(w, np.array(sa, np.int32), w, leaks.whole(w, depth), depth)
+        for i, a, b in zip(leaks.whole(w, depth).tolist(), low, high, strict=True):
+            assert [j for j in range(len(sa)) if runs[j] == tuple(w[i : i + depth])] == list(range(a, b))
 
 
 def test_subjects(spark):

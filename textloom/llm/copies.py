@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from textloom.plans.lineage import checkpoint_dir, cut, spread, table
 
-BUCKETS = 64
+#: Keys of a bucket, about; the number of buckets of a new ledger follows from its first batch.
+BUCKET_KEYS = 1_000_000
 LEDGER = "bucket int, key string, copies long, kept_id long"
+COMMITS = "version long, batch string, buckets int, touched array<int>"
 
 _GAP = re.compile(r"[\W_]+")
 _SPACE = re.compile(r"\s+")
@@ -70,9 +72,13 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def keyed(df: DataFrame) -> DataFrame:
-    """(id, bucket, key) of df(id, text), for the rows that have a key."""
-    out = spread(df.select("id", "text").where("id IS NOT NULL AND text IS NOT NULL")).mapInPandas(_keys, "id long, key string").where("key IS NOT NULL")
-    return out.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
+    """(id, key) of df(id, text), for the rows that have a key."""
+    return spread(df.select("id", "text").where("id IS NOT NULL AND text IS NOT NULL")).mapInPandas(_keys, "id long, key string").where("key IS NOT NULL")
+
+
+def in_buckets(batch: DataFrame, buckets: int) -> DataFrame:
+    """(id, bucket, key) of a batch of (id, key)."""
+    return batch.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
 
 
 def update_ledger(ledger: DataFrame, batch: DataFrame) -> DataFrame:
@@ -88,44 +94,84 @@ def update_ledger(ledger: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 class Ledger:
-    """A ledger kept as Parquet, partitioned by bucket; each batch reads and replaces only the buckets it touches."""
+    """A ledger of copies in a shared folder, which lasts over sessions.
+
+    Rows are Parquet files by version and bucket; a batch reads the buckets it touches, joins them with its own counts and
+    writes them as a new version. A version counts once its commit, a single file, is there: a batch that was lost on
+    the way leaves the ledger as it was, and a batch whose name is already committed is not counted again. Each bucket is
+    read from its newest version; compact() writes all into one. One writer at a time.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        """buckets: of a new ledger, else BUCKET_KEYS and its first batch decide."""
+        self.spark, self.path, self.wanted = spark, path.rstrip("/"), buckets
 
-    def read(self) -> DataFrame:
+    def commits(self) -> DataFrame:
         try:
-            return self.spark.read.schema(LEDGER).parquet(self.path)
+            return self.spark.read.schema(COMMITS).json(f"{self.path}/commits")
         except Exception as e:  # no batch yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], LEDGER)
-
-    def add(self, batch: DataFrame) -> None:
-        touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # at most BUCKETS
+            return self.spark.createDataFrame([], COMMITS)
+
+    def _versions(self) -> DataFrame:
+        """(bucket, version): the newest of each bucket."""
+        return self.commits().select("version", F.explode("touched").alias("bucket")).groupBy("bucket").agg(F.max("version").alias("version"))
+
+    def read(self, touched: list[int] | None = None) -> DataFrame:
+        """(LEDGER) of the given buckets or of all."""
+        newest = self._versions()
+        if touched is not None:
+            newest = newest.where(F.col("bucket").isin(touched))
+        by: dict[int, list[int]] = {}
+        for r in newest.collect():  # one row for each bucket
+            by.setdefault(r["version"], []).append(r["bucket"])
+        out = self.spark.createDataFrame([], LEDGER)
+        for version, buckets in sorted(by.items()):
+            out = out.unionByName(self.spark.read.schema(LEDGER).parquet(f"{self.path}/v{version}").where(F.col("bucket").isin(buckets)))
+        return out
+
+    def _commit(self, rows: DataFrame, batch: str, buckets: int, touched: list[int], version: int) -> None:
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{version}")
+        self.spark.createDataFrame([(version, batch, buckets, touched)], COMMITS).coalesce(1).write.mode("append").json(f"{self.path}/commits")
+
+    def add(self, name: str, batch: DataFrame) -> bool:
+        """Counts a batch of (id, key); False if a batch of this name was counted before."""
+        known = self.commits().agg(F.max("version"), F.max("buckets"), F.count_if(F.col("batch") == name)).first()
+        if known[2]:
+            return False
+        buckets = known[1] or self.wanted or max(1, -(-batch.count() // BUCKET_KEYS))
+        placed = in_buckets(batch, buckets)
+        touched = sorted(r[0] for r in placed.select("bucket").distinct().collect())  # one for each bucket
         if touched:
-            now = cut(update_ledger(self.read().where(F.col("bucket").isin(touched)), batch))
-            now.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+            self._commit(update_ledger(self.read(touched), placed), name, buckets, touched, (known[0] or 0) + 1)
+        return True
+
+    def compact(self) -> None:
+        """Writes the newest version of all buckets into one version."""
+        known = self.commits().agg(F.max("version"), F.max("buckets")).first()
+        if known[0]:
+            self._commit(self.read(), f"compact-{known[0] + 1}", known[1], list(range(known[1])), known[0] + 1)
 
 
-def collapse(df: DataFrame, batches: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(rows, ledger) of df(id, text): rows (id, bucket, key), ledger (bucket, key, copies, kept_id).
+def collapse(df: DataFrame, path: str | None = None, batches: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(rows, ledger) of df(id, text): rows (id, key), ledger (bucket, key, copies, kept_id).
 
-    The rows go to the ledger in batches by ranges of id, as they would arrive. Null ids, null texts and texts without a letter
-    or digit are in neither result; an empty df gives empty ones; rows repeated with the same id count each time.
+    The rows go to the ledger at path in batches by ranges of id, as they would arrive; without a path to a new one in the
+    checkpoint folder. Null ids, null texts and texts without a letter or digit are in neither result; an empty df gives
+    empty ones; rows repeated with the same id count each time.
     """
     rows = cut(keyed(df))
     ends = rows.approxQuantile("id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     ends = [None, *ends, None] if ends else [None, None]
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/ledger-{uuid.uuid4().hex}"
-    ledger = Ledger(df.sparkSession, path)
+    ledger = Ledger(df.sparkSession, path or f"{checkpoint_dir(df.sparkSession).rstrip('/')}/ledger-{uuid.uuid4().hex}")
     for low, high in zip(ends, ends[1:], strict=False):
         batch = rows
         if low is not None:
             batch = batch.where(F.col("id") > low)
         if high is not None:
             batch = batch.where(F.col("id") <= high)
-        ledger.add(batch)
+        ledger.add(f"{low} to {high}", batch)
     return rows, ledger.read()
 
 

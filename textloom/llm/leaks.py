@@ -2,110 +2,202 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.plans.lineage import spread, table
+from textloom.plans.lineage import cut, spread, table
 
 #: Consecutive words of an item that make a leak.
 WORDS = 8
-#: Characters of items that one task searches at once; more items are searched in more passes over the shards.
-ITEM_CHARS = 20_000_000
-#: Documents' words of one shard, at least; a shard is never part of a document.
-SHARD = 2_000_000
+#: Words of items that one task searches at once; more items are searched in more passes over the stored arrays.
+ITEM_WORDS = 4_000_000
+#: Words of one shard, at least; a shard is never part of a document.
+SHARD = 1_000_000
 
-_WORD = re.compile(r"[^\W_]+")
+ARRAYS = "docs array<long>, starts array<int>, words array<long>, suffixes array<int>"
 FOUND = "doc_id long, item_id long, n_words int, doc_word int, item_word int"
+#: What ends a document or an item; no word has this hash, or it only ends matches early.
+END = -1
+
+
+def hashed_words(df: DataFrame) -> DataFrame:
+    """(id, w): the hashes of the words of df(id, text) in the order of the text; rows without id or text are left out."""
+    word = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return df.where("id IS NOT NULL AND text IS NOT NULL").select("id", F.transform(word, lambda w: F.xxhash64(w)).alias("w"))
+
+
+def joined(ids: pa.Array, w: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, starts, words): texts one after another, each with an END."""
+    sizes = w.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    words = np.full(int(sizes.sum()) + len(sizes), END, np.int64)
+    inside = np.ones(len(words), bool)
+    inside[starts + sizes] = False
+    words[inside] = w.flatten().to_numpy(zero_copy_only=False)
+    return ids.to_numpy(zero_copy_only=False), starts, words
+
+
+def whole(words: np.ndarray, depth: int) -> np.ndarray:
+    """The places from which depth words follow in one text."""
+    gap = np.concatenate([[0], np.cumsum(words == END)])
+    at = np.arange(max(0, len(words) - depth + 1))
+    return at[gap[at + depth] == gap[at]]
+
+
+def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
+    """The places from which depth words follow in one text, in the order of those words.
+
+    By doubling: the ranks of runs of 1, 2, 4, ... words give those of twice as many, and at the end of depth words."""
+    rank, length = np.unique(words, return_inverse=True)[1].astype(np.int64), 1
+    while length < depth:
+        more = min(length, depth - length)
+        n = len(rank) - more
+        if n <= 0:
+            return np.zeros(0, np.int32)
+        rank = np.unique(rank[:n] * (int(rank.max()) + 1) + rank[more:], return_inverse=True)[1].astype(np.int64)
+        length += more
+    at = whole(words, depth)
+    return at[np.argsort(rank[at], kind="stable")].astype(np.int32)
+
+
+def bounds(words: np.ndarray, suffixes: np.ndarray, items: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of items the first suffix that doesn't sort before its depth words, and the first that sorts after
+    them: binary searches of all places at once."""
+    out = []
+    for after in (False, True):
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(suffixes), np.int64)
+        while (open_ := np.flatnonzero(low < high)).size:
+            mid = (low[open_] + high[open_]) // 2
+            place, less, equal = suffixes[mid], np.zeros(len(open_), bool), np.ones(len(open_), bool)
+            for k in range(depth):
+                a, b = words[place + k], items[at[open_] + k]
+                less |= equal & (a < b)
+                equal &= a == b
+            right = less | equal if after else less
+            low[open_[right]] = mid[right] + 1
+            high[open_[~right]] = mid[~right]
+        out.append(low)
+    return out[0], out[1]
+
+
+def longest(docs: tuple[np.ndarray, np.ndarray, np.ndarray], suffixes: np.ndarray, items: tuple[np.ndarray, np.ndarray, np.ndarray], depth: int) -> pa.RecordBatch | None:
+    """A batch of FOUND: the maximal verbatim matches of the items in the documents of a shard."""
+    (ids, starts, words), (item_ids, item_starts, item_words) = docs, items
+    at = whole(item_words, depth)
+    if not len(suffixes) or not len(at):
+        return None
+    low, high = bounds(words, suffixes, item_words, at, depth)
+    n = high - low
+    i = np.repeat(at, n)
+    p = suffixes[np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))].astype(np.int64)
+    before_i, before_p = np.where(i > 0, item_words[i - 1], END), np.where(p > 0, words[p - 1], END)
+    first = (before_i != before_p) | (before_i == END)  # else it's part of the match that starts a word before
+    i, p = i[first], p[first]
+    if not len(i):
+        return None
+    length = np.full(len(i), depth, np.int64)
+    grow = np.arange(len(i))
+    while len(grow):  # the END of either stops it
+        a, b = item_words[i[grow] + length[grow]], words[p[grow] + length[grow]]
+        grow = grow[(a == b) & (a != END)]
+        length[grow] += 1
+    d, own = np.searchsorted(starts, p, "right") - 1, np.searchsorted(item_starts, i, "right") - 1
+    columns = [ids[d], item_ids[own], length.astype(np.int32), (p - starts[d]).astype(np.int32), (i - item_starts[own]).astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in FOUND.split(", ")])
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The texts of a task in shards of SHARD words, or more if one document has more."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        first = 0
+        for k, size in enumerate(batch.column("w").value_lengths().to_pylist(), 1):
+            n += size
+            if n >= SHARD:
+                held.append(batch.slice(first, k - first))
+                yield _joined(held)
+                held, first, n = [], k, 0
+        if first < batch.num_rows:
+            held.append(batch.slice(first))
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    t = pa.Table.from_batches(held).combine_chunks()
+    return joined(t.column("id").combine_chunks(), t.column("w").combine_chunks())
+
+
+def _build(depth: int):
+    """The suffix arrays of the shards of a task, one row for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, starts, words in _shards(batches):
+            columns = [(ids, pa.int64()), (starts, pa.int32()), (words, pa.int64()), (suffix_array(words, depth), pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(t)) for x, t in columns], names=["docs", "starts", "words", "suffixes"])
 
+    return run
+
+
+def _search(items: tuple[np.ndarray, np.ndarray, np.ndarray], depth: int, stored: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def arrays():
+            if not stored:
+                for shard in _shards(batches):
+                    yield shard, suffix_array(shard[2], depth)
+                return
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    ids, starts, words, suffixes = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("docs", "starts", "words", "suffixes"))
+                    yield (ids, starts.astype(np.int64), words), suffixes
 
-class Shard:
-    """The suffix array of the words of some documents, as far as they are words of the items."""
-
-    def __init__(self, words: np.ndarray, starts: np.ndarray, depth: int):
-        """words: numbers of the words of all documents of the shard, 0 for words that no item has; a document ends
-        with a 0. starts: where each document starts. Suffixes whose first depth words hold a 0 match no item."""
-        self.words, self.starts, self.depth = words, starts, depth
-        gap = np.concatenate([[0], np.cumsum(words == 0)])
-        at = np.arange(max(0, len(words) - depth + 1))
-        at = at[gap[at + depth] == gap[at]]
-        keys = self.keys(words, at)
-        order = np.argsort(keys, kind="stable")
-        self.array, self.sorted = at[order], keys[order]
-
-    def keys(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The first depth words at each place as one string that sorts as they do."""
-        big = words.astype(">u4")
-        table = np.ascontiguousarray(big[at[:, None] + np.arange(self.depth)]) if len(at) else np.zeros((0, self.depth), ">u4")
-        return table.view(f"S{4 * self.depth}").ravel()
-
-    def longest(self, item: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(document, words, place in the document, place in the item) of the maximal verbatim matches of an item."""
-        if len(item) < self.depth or not len(self.array):
-            return
-        keys = self.keys(item, np.arange(len(item) - self.depth + 1))
-        low, high = np.searchsorted(self.sorted, keys, "left"), np.searchsorted(self.sorted, keys, "right")
-        for i in np.flatnonzero(high > low).tolist():
-            for place in self.array[low[i] : high[i]].tolist():
-                if i and place and self.words[place - 1] == item[i - 1]:
-                    continue  # part of the match that starts a word before
-                n = self.depth
-                while i + n < len(item) and place + n < len(self.words) and self.words[place + n] == item[i + n]:
-                    n += 1
-                doc = int(np.searchsorted(self.starts, place, "right")) - 1
-                yield doc, n, place - int(self.starts[doc]), i
-
-
-def _search(items: list[tuple[int, str]], depth: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number: dict[str, int] = {}
-        coded = [(i, np.array([number.setdefault(w, len(number) + 1) for w in _WORD.findall(t.lower())], np.int64)) for i, t in items]
-
-        def searched(ids: list[int], words: list[int], starts: list[int]) -> pd.DataFrame:
-            shard = Shard(np.array(words, np.int64), np.array(starts, np.int64), depth)
-            rows = [(ids[d], i, n, at, own) for i, item in coded for d, n, at, own in shard.longest(item)]
-            return pd.DataFrame(rows, columns=["doc_id", "item_id", "n_words", "doc_word", "item_word"])
-
-        ids, words, starts = [], [], []
-        for pdf in batches:
-            for doc, text in zip(pdf["id"].tolist(), pdf["text"], strict=True):
-                ids.append(doc)
-                starts.append(len(words))
-                words += [number.get(w, 0) for w in _WORD.findall(text.lower())]
-                words.append(0)
-                if len(words) >= SHARD:
-                    yield searched(ids, words, starts)
-                    ids, words, starts = [], [], []
-        if ids:
-            yield searched(ids, words, starts)
+        for shard, suffixes in arrays():
+            found = longest(shard, suffixes, items, depth)
+            if found is not None:
+                yield found
 
     return run
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, depth: int = WORDS) -> DataFrame:
+def training_arrays(documents: DataFrame, depth: int = WORDS) -> DataFrame:
+    """(ARRAYS): the suffix arrays of documents(id, text), one row for each shard of whole documents, written to the
+    checkpoint folder. They don't depend on what is searched in them; write them to a table to use them again."""
+    return cut(spread(hashed_words(documents)).mapInArrow(_build(depth), ARRAYS))
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, depth: int = WORDS, arrays: DataFrame | None = None) -> DataFrame:
     """(doc_id, item_id, n_words, doc_word, item_word): the maximal verbatim matches of items in documents.
 
-    documents(id, text), items(id, text). Each task builds the suffix arrays of its shards of whole documents, and every
-    suffix of every item is looked up in each by binary search; what is found is extended to the longest match of
-    depth words or more, with its places counted in words from 0. Items go to the tasks in portions of ITEM_CHARS
-    characters, so their number isn't bounded by a task's memory; the corpus never leaves its partition.
+    documents(id, text), items(id, text). The texts are shards of whole documents, each with the suffix array of its
+    words; every suffix of every item is looked up in each by binary search, and what is found is extended to the longest
+    match of depth words or more, with its places counted in words from 0. arrays: those of training_arrays, instead of
+    documents. Items go to the tasks in portions of ITEM_WORDS words: if one portion has them all, each array is searched
+    as soon as it is sorted; else the arrays are stored and each portion is read, searched and its matches stored in
+    turn, so that neither the driver nor a task ever holds more items than a portion. The corpus never leaves its partition.
 
-    Rows without an id and texts that are null or have fewer than depth words are in no match; items of the same text are all named; repeated
-    documents are found each on its own; empty tables give no rows.
+    Rows without an id and texts that are null or have fewer than depth words are in no match; items of the same text are
+    all named; repeated documents are found each on its own; empty tables give no rows. Words are compared by 64-bit hashes.
     """
-    items = items.where("id IS NOT NULL AND text IS NOT NULL").select("id", "text")
-    sized = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    passes = max(1, -(-sized // ITEM_CHARS))
-    texts = spread(documents.where("id IS NOT NULL AND text IS NOT NULL").select("id", "text"))
+    words = hashed_words(items)
+    sized = words.agg(F.sum(F.size("w"))).first()[0] or 0
+    passes = max(1, -(-sized // ITEM_WORDS))
+
+    def portion(k: int):
+        own = words if passes == 1 else words.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == k)
+        got = own.toArrow().combine_chunks()  # about ITEM_WORDS words
+        return joined(got.column("id").combine_chunks(), got.column("w").combine_chunks())
+
+    if arrays is None and passes == 1:
+        return spread(hashed_words(documents)).mapInArrow(_search(portion(0), depth, False), FOUND)
+    arrays = training_arrays(documents, depth) if arrays is None else arrays
     out = documents.sparkSession.createDataFrame([], FOUND)
     for k in range(passes):
-        portion = items if passes == 1 else items.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == k)
-        rows = [(r["id"], r["text"]) for r in portion.collect()]  # about ITEM_CHARS characters
-        out = out.unionByName(texts.mapInPandas(_search(rows, depth), FOUND))
+        out = out.unionByName(cut(arrays.mapInArrow(_search(portion(k), depth, True), FOUND)))
     return out
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +13,9 @@ from textloom.plans.lineage import table
 
 #: Spellings of each category, trimmed and in lower case (fixed values of the data).
 SPELLINGS = {"Yes": ("yes", "y", "1", "true"), "No": ("no", "n", "0", "false"), "Unsure": ("unsure", "?"), "Mixed": ("mixed",)}
-#: Parts that each category's reservoir is first kept in, so that a hot category isn't one task's work.
-SALTS = 16
+#: Rows of all reservoirs together that a task holds; beyond, it gives them out and begins new ones, to be merged.
+HELD = 1_000_000
+RESERVOIR = "run string, cls string, rank long, row_id long"
 
 
 def category(label: Column) -> Column:
@@ -22,42 +27,88 @@ def category(label: Column) -> Column:
     return out
 
 
+def needs(targets: DataFrame) -> DataFrame:
+    """(run, class_label, cls, needed): the larger of min_rows and the target's share of the sample, rounded up."""
+    share = F.ceil(F.col("target_pct") * F.col("sample_size") / 100)
+    return targets.select("run", "class_label", category(F.col("class_label")).alias("cls"), F.greatest("min_rows", share).cast("long").alias("needed"))
+
+
+def _usable(pool: DataFrame) -> DataFrame:
+    """The rows with a category and a letter or digit."""
+    return pool.where(F.col("Text").rlike(r"[\p{L}\p{N}]")).withColumn("cls", category(F.col("class_label"))).where("cls IS NOT NULL")
+
+
 def quotas(pool: DataFrame, targets: DataFrame) -> DataFrame:
-    """(run, class_label, needed, available, quota, cls) for each row of targets.
+    """(run, class_label, needed, available, quota, cls) for each row of targets, by counting all distinct texts.
 
-    pool(row_id, run, class_label, Text), targets(run, class_label, target_pct, min_rows, sample_size). Needed is the
-    larger of min_rows and the target's share of the sample, rounded up; available are the distinct Texts with a letter
-    or digit; the quota is the smaller. Null runs match nothing; unknown labels have no category; rows of targets
-    given twice appear twice; a category without any row has 0 available.
+    pool(row_id, run, class_label, Text), targets(run, class_label, target_pct, min_rows, sample_size). Available are the
+    distinct Texts with a letter or digit; the quota is the smaller. Null runs match nothing; unknown labels have no
+    category; rows of targets given twice appear twice; a category without any row has 0 available.
     """
-    texts = _texts(pool).groupBy("run", "cls").agg(F.count("*").alias("available"))
-    share = F.ceil(F.col("target_pct") * F.col("sample_size") / 100)
-    need = targets.select("run", "class_label", category(F.col("class_label")).alias("cls"), F.greatest("min_rows", share).cast("long").alias("needed"))
-    joined = need.join(texts, ["run", "cls"], "left").withColumn("available", F.coalesce("available", F.lit(0)))
+    texts = _usable(pool).select("run", "cls", "Text").distinct().groupBy("run", "cls").agg(F.count("*").alias("available"))
+    joined = needs(targets).join(texts, ["run", "cls"], "left").withColumn("available", F.coalesce("available", F.lit(0)))
     return joined.withColumn("quota", F.least("needed", "available"))
 
 
-def _texts(pool: DataFrame) -> DataFrame:
-    """(run, cls, Text, row_id): the distinct usable texts of each run and category with their smallest id."""
-    usable = pool.where(F.col("Text").rlike(r"[\p{L}\p{N}]")).withColumn("cls", category(F.col("class_label"))).where("cls IS NOT NULL")
-    return usable.groupBy("run", "cls", "Text").agg(F.min("row_id").alias("row_id"))
+def _fill(size: int):
+    """The reservoirs of a task: of each run and category the ``size`` texts of smallest rank, each once, with its smallest id."""
 
+    def merged(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        x = pd.concat(parts).sort_values(["run", "cls", "rank", "row_id"], kind="stable").drop_duplicates(["run", "cls", "rank"])
+        return x[x.groupby(["run", "cls"]).cumcount() < size]
 
-def sample_to_targets(pool: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
-    """(run, class_label, row_id): of each row of targets its quota of rows, one for each distinct text.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fresh, n = None, [], 0
+        for batch in batches:
+            fresh.append(batch.to_pandas())
+            n += batch.num_rows
+            if n >= 100_000:
+                held, fresh, n = merged([*([held] if held is not None else []), *fresh]), [], 0
+                if len(held) > HELD:
+                    yield pa.RecordBatch.from_pandas(held, preserve_index=False)
+                    held = None
+        rest = [*([held] if held is not None else []), *fresh]
+        if rest:
+            yield pa.RecordBatch.from_pandas(merged(rest), preserve_index=False)
+
+    return run
 
-    Each text has a random rank from the hash of (seed, text). A reservoir is the texts of smallest rank, so reservoirs
-    merge by keeping the smallest: the pool is read once, SALTS reservoirs of each category are trimmed to the need in
-    parallel, merged, and trimmed to the feasible quota once the counts are known. Ties go to the smaller id.
+
+def reservoirs(pool: DataFrame, size: int, seed: int = 42) -> DataFrame:
+    """(run, cls, rank, row_id): of each run and category a uniform sample of ``size`` distinct texts, or all if there are fewer.
+
+    A text's rank is the hash of seed and text, so every text is as likely as another, however many copies it has, and
+    a reservoir is the texts of smallest rank. Each task fills reservoirs from the rows that it reads, in one pass; they
+    merge by keeping the smallest ranks again: copies of one text meet by their rank, never by category, and the ranks
+    beyond the size are cut off before and after the last shuffle, so a hot category is at most size rows of a task.
     """
-    plan = quotas(pool, targets).select("run", "cls", "class_label", "quota").distinct()
-    ranked = _texts(pool).withColumn("rank", F.xxhash64(F.lit(seed), "Text"))
-    ranked = ranked.drop("Text").join(plan, ["run", "cls"]).withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)))
-    order = [F.col("rank"), F.col("row_id")]
-    most = plan.agg(F.max("quota")).first()[0] or 0  # with a literal bound, each task keeps no more than that before the shuffle
-    part = ranked.withColumn("n", F.row_number().over(Window.partitionBy("run", "cls", "class_label", "salt").orderBy(*order))).where((F.col("n") <= most) & (F.col("n") <= F.col("quota")))
-    whole = part.withColumn("n", F.row_number().over(Window.partitionBy("run", "cls", "class_label").orderBy(*order))).where("n <= quota")
-    return whole.select("run", "class_label", "row_id")
+    rows = _usable(pool).where("run IS NOT NULL AND row_id IS NOT NULL").select("run", "cls", F.xxhash64(F.lit(seed), "Text").alias("rank"), "row_id")
+    kept = rows.mapInArrow(_fill(max(1, size)), RESERVOIR).groupBy("run", "cls", "rank").agg(F.min("row_id").alias("row_id"))
+    place = F.row_number().over(Window.partitionBy("run", "cls").orderBy("rank"))
+    return kept.withColumn("place", place).where(F.col("place") <= size)
+
+
+def filled(pool: DataFrame, targets: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(reservoirs, plan): plan is (run, class_label, cls, needed, held), where held below needed says that the category is
+    exhausted, as its reservoir then has all its texts."""
+    need = needs(targets)
+    size = need.agg(F.max("needed")).first()[0] or 0
+    kept = reservoirs(pool, size, seed)
+    held = kept.groupBy("run", "cls").agg(F.count("*").alias("held"))
+    return kept, need.join(held, ["run", "cls"], "left").withColumn("held", F.coalesce("held", F.lit(0)))
+
+
+def exhausted(pool: DataFrame, targets: DataFrame) -> DataFrame:
+    """(run, class_label, needed, held): the rows of targets whose reservoir could not be filled to the need."""
+    return filled(pool, targets)[1].where("held < needed").select("run", "class_label", "needed", "held")
+
+
+def sample_to_targets(pool: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
+    """(run, class_label, row_id): of each row of targets its quota of rows, one for each distinct text: the need, or all
+    texts of an exhausted category. A smaller sample of the same seed is part of a larger one."""
+    kept, plan = filled(pool, targets, seed)
+    plan = plan.select("run", "cls", "class_label", "needed").distinct()
+    return kept.join(plan, ["run", "cls"]).where("place <= needed").select("run", "class_label", "row_id")
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +117,7 @@ def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run, class_label): rows of target_mix that can't be met from candidate_pool."""
-    return quotas(*_tables(spark, sf_dir)).where("needed > available").select("run", "class_label")
+    return exhausted(*_tables(spark, sf_dir)).select("run", "class_label")
 
 
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:

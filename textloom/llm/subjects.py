@@ -7,73 +7,78 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.plans.lineage import spread, table
+from textloom.plans.lineage import cut, spread, table
 
-#: Curated terms of each subject, beside the example words of the subject table.
+#: Curated terms of each subject by weight, beside the example words of the subject table: words of general usage that
+#: belong to one subject mostly (1.0), or rather to it than to another (0.6).
 CURATED = {
-    "economy": "household savings, shopkeepers, inflation forecasts, market stalls, trade balances, start-ups, growth figures, bank loans, credit lines, small firms, bankruptcies, investment funds, import prices, currency reserves",
-    "education": "lecture halls, homework clubs, campus libraries, tuition fees, pupil numbers, exam results, student debt, evening classes, textbooks, school buses, vocational courses, graduation rates, classrooms, scholarships",
-    "employment": "overtime rules, payroll numbers, job openings, job centres, collective bargaining, minimum pay, strike days, jobless benefits, workplace injuries, temporary contracts, hiring plans, severance packages, work permits, paid leave",
-    "energy": "hydro dams, solar panels, reactors, refineries, fuel reserves, petrol stations, heat pumps, grid outages, transmission lines, drilling licences, boiler grants, gas pipelines, battery parks, power plants",
-    "health": "clinics, drug prices, hospital beds, surgeons, care homes, vaccines, maternity units, dental care, infection rates, blood banks, cancer screenings, prescriptions, emergency rooms, outpatient visits",
-    "military": "reservists, border patrol flights, veterans, peacekeepers, troops, tank brigades, submarines, cadets, arms exports, army barracks, military hospitals, warships, munitions, recruits",
-    "tax": "deductions, excise rates, payroll levies, sales tax, inheritance duties, income tax, corporate tax, stamp duty, tax havens, fuel duty, filing deadlines, tax arrears, tax brackets, property levies",
-    "crime": "police stations, crime labs, burglaries, knife attacks, parole hearings, shoplifting, detectives, gang raids, homicides, inmates, car thefts, stolen goods, prison cells, fraud cases",
-    "immigration": "border fences, naturalisations, green cards, language tests, asylum judges, passport checks, border crossings, asylum requests, citizenship courses, entry quotas, guest workers, migrant families, detention camps, smuggling routes",
-    "environment": "drought plans, clean-up funds, fish stocks, river pollution, plastic waste, nature reserves, litter fines, methane leaks, recycling bins, wetlands, pesticides, coral reefs, soil erosion, glaciers",
-    "housing": "house prices, building permits, lease terms, down payments, roof repairs, rent subsidies, zoning plans, construction sites, rents, student dorms, evictions, tenants, squatters, homeless shelters",
-    "transport": "subway stations, highways, commuters, bus routes, truck traffic, freight yards, train fares, driving licences, ferry crossings, airports, traffic deaths, speed cameras, potholes, parking spaces",
-    "technology": "passwords, search engines, algorithms, fibre cables, data centres, app stores, encryption rules, phone masts, robots, online platforms, mobile networks, server outages, broadband lines, patent filings",
-    "sport": "medal counts, referees, goalkeepers, marathon runners, transfer fees, gymnasts, cup finals, coaches, youth teams, broadcast rights, relay records, season passes, stadiums, league titles",
-}
+    "economy": {1.0: "inflation, recession, gdp, gross domestic product, central bank, stock market, exports, imports, bankruptcy, insolvency, exchange rate", 0.6: "economy, economic growth, investors, consumers, retailers, shops, manufacturing"},
+    "education": {1.0: "tuition, pupils, curriculum, kindergarten, undergraduates, headteachers, literacy, schoolchildren, homework", 0.6: "schools, students, teachers, universities, colleges, exams"},
+    "employment": {1.0: "unemployment, minimum wage, overtime, redundancies, severance, job seekers, jobseekers, sick leave, parental leave, gig workers", 0.6: "wages, employees, jobs, hiring, trainees, strikes"},
+    "energy": {1.0: "nuclear power, natural gas, hydropower, solar power, wind power, crude oil, turbines, fracking, oil refinery, power grid, electricity", 0.6: "energy, petrol, diesel, fuel, gas, coal"},
+    "health": {1.0: "surgery, vaccination, vaccines, epidemic, midwives, paramedics, general practitioners, medicines, psychiatry", 0.6: "hospitals, doctors, patients, medical, disease"},
+    "military": {1.0: "armed forces, soldiers, infantry, navy, air force, artillery, conscription, battalions, warships, military", 0.6: "army, weapons, defence, troops"},
+    "tax": {1.0: "income tax, value added tax, vat, tax evasion, tax cuts, tax rates, taxpayers, inheritance tax, tax authority", 0.6: "tax, taxes, taxation, levy, levies, tariffs"},
+    "crime": {1.0: "murder, burglary, theft, homicide, assaults, convicts, criminal gangs, robbery, manslaughter, detectives", 0.6: "crime, criminals, police, prison, prisons, prisoners"},
+    "immigration": {1.0: "asylum seekers, refugees, migrants, immigrants, immigration, naturalisation, work visas, border control, border controls", 0.6: "asylum, border, citizenship, passports"},
+    "environment": {1.0: "global warming, greenhouse gases, biodiversity, deforestation, endangered species, water pollution, air pollution, national parks, sewage, climate change", 0.6: "pollution, wildlife, rivers, recycling, conservation"},
+    "housing": {1.0: "rent control, tenancy, eviction, homelessness, real estate, affordable housing, home ownership, council houses, renters", 0.6: "housing, homes, rents, apartments"},
+    "transport": {1.0: "railways, commuter trains, motorways, public transport, traffic jams, airlines, bus lines, underground trains, cyclists", 0.6: "trains, buses, traffic, roads, railway, ferries"},
+    "technology": {1.0: "artificial intelligence, semiconductors, smartphones, broadband, cybersecurity, hackers, malware, cloud computing, web browsers", 0.6: "software, internet, computers, digital, data"},
+    "sport": {1.0: "football, olympics, athletes, world cup, premier league, tennis, athletics, doping, goalkeeper, championships", 0.6: "stadium, fans, league, coach, tournament"},
+}
 
 #: Openings of a side remark; what follows them in the sentence is no subject of it.
 REMARKS = "unlike, not to mention, much like, just like, let alone, apart from, aside from, as opposed to, rather than, compared with, compared to, similar to, in contrast to, leaving aside, to say nothing of"
-#: Words that state a purpose or a group in passing, whatever the sentence deals with.
-PASSING = ("help veterans",)
+#: A purpose names whom something is to help in passing, whatever the sentence deals with: the verb and its object.
+PURPOSE = r"\bto\s+help\s+[\p{L}\p{N}]+"
 
 #: At most so many labelled rows, by the hash of their text, are used to calibrate the threshold.
 LABELLED_ROWS = 50_000
 #: Rounds of learning terms from the sentences of which the subject is known, the purity that a learned term needs and
-#: the lower bound of it that its count must prove, and the learned terms of a subject at most.
-ROUNDS, PURITY, PROVEN, LEXICON = 2, 0.95, 0.5, 5000
-#: A word seen with so many subjects is common, and a phrase with it is no term.
-COMMON = 5
-#: Weight of a curated term, and of a learned one that is wholly pure.
-CURATED_WEIGHT, LEARNED_WEIGHT = 1.0, 0.9
+#: the lower bound of it that its count must prove.
+ROUNDS, PURITY, PROVEN = 3, 0.95, 0.5
+#: In this share of its sentences without two subjects, at least, the subject must be known: a greeting that stood beside a
+#: subject by chance is no term of it.
+KNOWN = 0.2
+#: A learned term stands in this share of the texts at least, which bounds the terms by the phrases of 20,000 texts,
+#: however many there are.
+RARE = 1 / 20_000
+#: A word is common, and a phrase with it no term, if its counts prove that no subject has so much of it.
+MAJORITY = 0.5
+#: Weight of an example word of the subject table, and of a learned term that is wholly pure.
+GIVEN_WEIGHT, LEARNED_WEIGHT = 1.0, 0.9
 NOTHING = ("none", "various", "")
 
-_REMARK = r"\b(?:" + "|".join(x.strip().replace(" ", r"\s+") for x in REMARKS.split(",")) + r")\b.*$"
-_SENTENCE = re.compile(r"(?<=[.!?])[\"”’)]*\s+")
+_REMARK = r"(?s)\b(?:" + "|".join(x.strip().replace(" ", r"\s+") for x in REMARKS.split(",")) + r")\b.*$"
 _WORD = re.compile(r"[^\W_]+")
 
 
-def sentences(text: str) -> list[list[str]]:
-    """The words of each sentence in lower case, without side remarks."""
-    out = []
-    for s in _SENTENCE.split(text):
-        words = _WORD.findall(re.sub(_REMARK, " ", s.lower(), flags=re.S))
-        if words:
-            out.append(words)
-    return out
+def sentences(text: Column) -> Column:
+    """The sentences of a text, each its words in lower case with a space between, without side remarks and purposes."""
+    parts = F.split(F.lower(text), r"""(?<=[.!?])["”’)]*\s+""")
+    bare = F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, _REMARK, " "), PURPOSE, " "))
+    joined = F.transform(bare, lambda s: F.array_join(F.regexp_extract_all(s, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " "))
+    return F.filter(joined, lambda s: s != "")
 
 
-def curated_terms(subjects: DataFrame) -> dict[str, str]:
-    """Term -> subject, from CURATED and from the example words of subjects(subject, description)."""
+def curated_terms(subjects: DataFrame) -> dict[str, tuple[str, float]]:
+    """Term -> (subject, weight), from CURATED for the subjects of subjects(subject, description) and from their example words."""
     terms = {}
     for r in subjects.where("subject IS NOT NULL").collect():  # one row for each subject
+        listed = [(x, w) for w, words in CURATED.get(r["subject"], {}).items() for x in words.split(",")]
         text = re.sub(r"^texts about|and the like\W*$", "", (r["description"] or "").strip().lower())
-        for x in [*text.split(","), *CURATED.get(r["subject"], "").split(",")]:
+        for x, weight in [*listed, *((x, GIVEN_WEIGHT) for x in text.split(","))]:
             if words := _WORD.findall(x.lower()):
-                terms[" ".join(words)] = r["subject"]
+                terms[" ".join(words)] = (r["subject"], weight)
     return terms
 
 
 def _phrases(terms: dict[str, tuple[str, float]]):
-    """The phrases of one and two words beside the terms of the sentences in which only one subject is known.
+    """The phrases of one and two words beside the terms of the sentences in which one subject is known, or none ('').
 
     A part of a known term is no evidence: 'evening' of 'evening classes' means nothing elsewhere. Once for each text.
     """
@@ -82,53 +87,88 @@ def _phrases(terms: dict[str, tuple[str, float]]):
         match = Matcher(terms)
         for pdf in batches:
             rows = []
-            for text in pdf["text"]:
+            for text in pdf["sentences"]:
                 seen = set()
-                for w in sentences(text):
+                for w in text:
                     found = match(w)
-                    known = {m[1] for m in found if m[1]}
-                    if len(known) == 1:
-                        parts = f" {' '.join(w)} "
+                    known = {m[1] for m in found}
+                    if len(known) < 2:
+                        parts = f" {w} "
                         for term, *_ in found:
                             parts = parts.replace(f" {term} ", " | ")
+                        subject = next(iter(known), "")
                         for part in parts.split("|"):
                             x = part.split()
-                            seen |= {(" ".join(x[i : i + n]), *known) for n in (1, 2) for i in range(len(x) - n + 1)}
+                            seen |= {(" ".join(x[i : i + n]), subject) for n in (1, 2) for i in range(len(x) - n + 1)}
                 rows += seen
             yield pd.DataFrame(rows, columns=["term", "subject"], dtype=str)
 
     return run
 
 
-def _labelled(df: DataFrame) -> DataFrame:
-    named = df.withColumn("subject", F.lower(F.trim("topic"))).where("text IS NOT NULL AND subject IS NOT NULL").select("text", "subject").distinct()
-    return named.orderBy(F.xxhash64("text"), "subject").limit(LABELLED_ROWS)
-
-
-def learned_terms(texts: DataFrame, known: dict[str, tuple[str, float]]) -> dict[str, tuple[str, float]]:
+def _bounds(n: Column, total: Column) -> tuple[Column, Column]:
+    """Wilson's bounds of the share n / total, at two deviations."""
+    p = n / total
+    middle, width = p + 2 / total, 2 * F.sqrt(p * (1 - p) / total + 1 / (total * total))
+    return (middle - width) / (1 + 4 / total), (middle + width) / (1 + 4 / total)
+
+
+def _labelled_phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for subject, text in zip(pdf["subject"], pdf["sentences"], strict=True):
+            seen = set()
+            for sentence in text:
+                x = sentence.split()
+                seen |= {" ".join(x[i : i + n]) for n in (1, 2, 3) for i in range(len(x) - n + 1)}
+            rows += [(t, subject) for t in seen]
+        yield pd.DataFrame(rows, columns=["term", "subject"], dtype=str)
+
+
+def confirmed_terms(labelled: DataFrame, curated: dict[str, tuple[str, float]], names: set[str]) -> dict[str, tuple[str, float]]:
+    """Term -> (subject, weight), by the labelled rows (at most LABELLED_ROWS): the phrases whose rows are proven to have one
+    label mostly (PROVEN), and the curated terms, less those that are proven not to (MAJORITY), as stock phrases are."""
+    n = labelled.mapInPandas(_labelled_phrases, "term string, subject string").groupBy("term", "subject").agg(F.count("*").alias("n"))
+    by = n.groupBy("term").agg(F.sum("n").alias("total"), F.max(F.struct("n", "subject")).alias("top"), F.map_from_entries(F.collect_list(F.struct("subject", "n"))).alias("of"))
+    low, _ = _bounds(F.col("top.n"), F.col("total"))
+    known = [(t, s) for t, (s, _) in curated.items()]
+    kept = dict(curated)
+    if known:
+        own = by.join(F.broadcast(labelled.sparkSession.createDataFrame(known, "term string, own string")), "term")
+        share = F.coalesce(F.try_element_at("of", F.col("own")), F.lit(0))
+        for r in own.where(_bounds(share, F.col("total"))[1] < MAJORITY).select("term").collect():
+            del kept[r["term"]]
+    if names:
+        for r in by.where((low >= PROVEN) & F.col("top.subject").isin(*names) & (F.col("total") >= 4)).select("term", "top.subject", (F.col("top.n") / F.col("total")).alias("p")).collect():
+            kept.setdefault(r["term"], (r["subject"], LEARNED_WEIGHT * r["p"]))
+    return kept
+
+
+def learned_terms(texts: DataFrame, known: dict[str, tuple[str, float]], total: int) -> dict[str, tuple[str, float]]:
     """Term -> (subject, weight) of the phrases that nearly always stand in sentences of one known subject.
 
     All texts are counted. A phrase is a term where its purity is at least PURITY and the lower bound of it (Wilson's, at
-    two deviations) at least PROVEN, which takes some support, and no word of it is COMMON to many subjects; of each subject, the LEXICON terms of most texts are kept, so what
-    reaches the driver is bounded. Where phrases overlap, the automaton takes one.
+    two deviations) at least PROVEN, which takes some support, where it is not RARE among the total texts and where no word
+    of it is common: the upper bound of the share of its most frequent subject is below MAJORITY. Shares decide, not
+    counts, so more texts prove more and drop nothing. Where phrases overlap, the automaton takes one.
     """
     counts = texts.mapInPandas(_phrases(known), "term string, subject string").groupBy("term", "subject").agg(F.count("*").alias("n"))
-    by = counts.groupBy("term").agg(F.sum("n").alias("total"), F.max(F.struct("n", "subject")).alias("top"), F.count("*").alias("subjects"))
+    one = F.col("subject") != ""
+    by = counts.groupBy("term").agg(F.sum(F.when(one, F.col("n"))).alias("total"), F.max(F.when(one, F.struct("n", "subject"))).alias("top"), F.sum("n").alias("all"))
+    by = cut(by.where("total > 0"))
     n, p = F.col("total"), F.col("top.n") / F.col("total")
-    low = (p + 2 / n - 2 * F.sqrt(p * (1 - p) / n + 1 / (n * n))) / (1 + 4 / n)
-    common = by.where((F.col("subjects") >= COMMON) & ~F.contains("term", F.lit(" "))).select("term")
+    low, high = _bounds(F.col("top.n"), n)
+    common = by.where((high < MAJORITY) & ~F.contains("term", F.lit(" "))).select("term")
+    good = by.where((p >= PURITY) & (low >= PROVEN) & (n >= RARE * total) & (n >= KNOWN * F.col("all"))).select("term", F.col("top.subject").alias("subject"), p.alias("p"))
     for k in (1, -1):
-        by = by.join(common.toDF("part"), F.element_at(F.split("term", " "), k) == F.col("part"), "left_anti")
-    best = Window.partitionBy("subject").orderBy(F.desc("n"), "term")
-    good = by.where((p >= PURITY) & (low >= PROVEN)).select("term", F.col("top.subject").alias("subject"), F.col("top.n").alias("n"), p.alias("p"))
-    good = good.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEXICON)
+        good = good.join(common.toDF("part"), F.element_at(F.split("term", " "), k) == F.col("part"), "left_anti")
     return {r["term"]: (r["subject"], LEARNED_WEIGHT * r["p"]) for r in good.collect()}
 
 
 class Matcher:
-    """Finds terms in a list of words with one pass of a multi-pattern automaton.
+    """Finds terms in a sentence, its words with a space between, with one pass of a multi-pattern automaton.
 
-    Of overlapping terms the one of more weight counts, then the longer: a curated term is never cut by a learned one."""
+    Of overlapping terms the longer counts, then the one of more weight."""
 
     def __init__(self, terms: dict[str, tuple[str, float]]):
         import ahocorasick
@@ -136,14 +176,12 @@ class Matcher:
         self.automaton = ahocorasick.Automaton()
         for term, value in terms.items():
             self.automaton.add_word(f" {term} ", (len(term) + 2, term, value))
-        for term in PASSING:
-            self.automaton.add_word(f" {term} ", (len(term) + 2, term, (None, 2.0)))
         self.automaton.make_automaton()
 
-    def __call__(self, words: list[str]) -> list[tuple[str, str | None, float]]:
-        found = [(end - n + 1, end, term, value) for end, (n, term, value) in self.automaton.iter(f" {' '.join(words)} ")] if len(self.automaton) else []
+    def __call__(self, sentence: str) -> list[tuple[str, str, float]]:
+        found = [(end - n + 1, end, term, value) for end, (n, term, value) in self.automaton.iter(f" {sentence} ")] if len(self.automaton) else []
         out, taken = [], set()
-        for start, end, term, (subject, weight) in sorted(found, key=lambda x: (-x[3][1], x[0] - x[1], x[0])):
+        for start, end, term, (subject, weight) in sorted(found, key=lambda x: (-x[2].count(" "), -x[3][1], x[0])):
             inner = range(start + 1, end)  # the spaces at either end may be shared
             if taken.isdisjoint(inner):
                 out.append((term, subject, weight))
@@ -155,22 +193,21 @@ def _count_terms(terms: dict[str, tuple[str, float]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         match = Matcher(terms)
         for pdf in batches:
-            yield pd.DataFrame({"term": [t for text in pdf["text"] for t in {m[0] for w in sentences(text) for m in match(w)}]}, dtype=str)
+            yield pd.DataFrame({"term": [t for text in pdf["sentences"] for t in {m[0] for w in text for m in match(w)}]}, dtype=str)
 
     return run
 
 
-def scores(text: str, match: Matcher, rarity: dict[str, float]) -> dict[str, float]:
+def scores(text: list[str], match: Matcher, rarity: dict[str, float]) -> dict[str, float]:
     """The best score of each subject in any sentence: weight and rarity of its terms over the root of the length."""
     best: dict[str, float] = {}
-    for words in sentences(text):
+    for sentence in text:
         own: dict[str, float] = {}
-        for term, subject, weight in match(words):
-            if subject:
-                own[subject] = own.get(subject, 0.0) + weight * rarity.get(term, 1.0)
+        for term, subject, weight in match(sentence):
+            own[subject] = own.get(subject, 0.0) + weight * rarity.get(term, 1.0)
         for subject, x in own.items():
             if x >= 0.5 * max(own.values()):  # else the sentence deals with another subject
-                best[subject] = max(best.get(subject, 0.0), x / math.sqrt(len(words)))
+                best[subject] = max(best.get(subject, 0.0), x / math.sqrt(sentence.count(" ") + 1))
     return best
 
 
@@ -178,7 +215,7 @@ def _scored(terms: dict[str, tuple[str, float]], rarity: dict[str, float], keep:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         match = Matcher(terms)
         for pdf in batches:
-            found = [list(scores(text, match, rarity).items()) for text in pdf["text"]]
+            found = [list(scores(text, match, rarity).items()) for text in pdf["sentences"]]
             n = [len(x) for x in found]
             out = {c: pdf[c].repeat(n).to_numpy() for c in keep}
             yield pd.DataFrame(out | {"found": [s for x in found for s, _ in x], "score": [v for x in found for _, v in x]})
@@ -194,12 +231,15 @@ def subject_scores(df: DataFrame, subjects: DataFrame) -> tuple[DataFrame, float
     tells rows labelled 'none' from subjects confirmed by a label. Null texts, texts without a word and subjects that
     are not in the subject table give no rows; without labelled rows the threshold is 0.
     """
-    labelled = _labelled(df)
-    texts = spread(df.where("id IS NOT NULL AND text IS NOT NULL").select("id", "text"))
-    terms = {k: (s, CURATED_WEIGHT) for k, s in curated_terms(subjects).items()}
-    for _ in range(ROUNDS):
-        terms = learned_terms(texts, terms) | terms
+    label = F.lower(F.trim("topic")).alias("label")
+    texts = cut(spread(df.where("id IS NOT NULL AND text IS NOT NULL")).select("id", label, sentences(F.col("text")).alias("sentences")))
+    labelled = texts.where("label IS NOT NULL").select(F.col("label").alias("subject"), "sentences").distinct()
+    labelled = cut(labelled.orderBy(F.xxhash64("sentences"), "subject").limit(LABELLED_ROWS))
     total = max(1, texts.count())
+    curated = curated_terms(subjects)
+    terms = confirmed_terms(labelled, curated, {s for s, _ in curated.values()})
+    for _ in range(ROUNDS):
+        terms = learned_terms(texts, terms, total) | terms
     counts = {r["term"]: r["count"] for r in texts.mapInPandas(_count_terms(terms), "term string").groupBy("term").count().collect()}  # at most one for each term
     rarity = {t: math.log1p(total / n) / math.log1p(total) for t, n in counts.items()}
     on = labelled.mapInPandas(_scored(terms, rarity, ["subject"]), "subject string, found string, score double")
