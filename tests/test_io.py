@@ -14,7 +14,7 @@ def test_csv_round_trip_with_quotes_and_breaks(spark, tmp_path):
     rows = [("a \"quoted\", text\nwith a break", "Yes"), ("plain", "No"), ("NA", None)]
     df = spark.createDataFrame(rows, "Text string, class_label string")
     writers.write_csv(df, f"{tmp_path}/x")
-    back = readers.delimited(spark, f"{tmp_path}/x", "Text string, class_label string")
+    back = readers.delimited(spark, f"{tmp_path}/x", "Text string, class_label string", multi_line=True)
     assert sorted(map(str, back.collect())) == sorted(map(str, spark.createDataFrame([*rows[:2], (None, None)], df.schema).collect()))
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         writers.write_csv(df, f"{tmp_path}/x")
@@ -67,3 +67,55 @@ def test_stream_appends_each_key_once(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         ingest.append_to(ingest.first_seen(ingest.valid_texts(stream), "Text", "at", "1 hour"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_one_broken_file_spoils_no_other(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/a.tsv").write_text("id\tText\n1\ta\n2\tb\n")
+    (tmp_path / "d/b.tsv").write_text("id\tText\nx\ty\n3\tc\n")
+    rows, failed = readers.isolated(spark, f"{tmp_path}/d", "id int, Text string")
+    assert sorted(r["id"] for r in rows.collect()) == [1, 2, 3] and [tuple(r) for r in failed.collect()] == [("b.tsv", 1)]
+
+
+def test_templates_and_properties(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/one.txt").write_text("Write {n}\nclaims")
+    assert [tuple(r) for r in readers.templates(spark, f"{tmp_path}/p").collect()] == [("one.txt", "Write {n}\nclaims")]
+    (tmp_path / "x.json").write_text('{"topic": {"tax": ["fair", "low"]}, "tone": {"dry": []}}')
+    got = {(r["category"], r["name"], tuple(r["features"])) for r in readers.properties(spark, f"{tmp_path}/x.json").collect()}
+    assert got == {("topic", "tax", ("fair", "low")), ("tone", "dry", ())}
+
+
+def test_splits_appends_epochs_predictions(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0, "a"), (2, 1, None)], "id int, epoch int, Text string")
+    for s in ("train", "dev"):
+        writers.write_csv(df.select("id", "Text"), f"{tmp_path}/{s}")
+    got = readers.splits(spark, {s: f"{tmp_path}/{s}" for s in ("train", "dev")}, "id int, Text string")
+    assert sorted((r["id"], r["split"], r["Text"] or "") for r in got.collect()) == [(1, "dev", "a"), (1, "train", "a"), (2, "dev", ""), (2, "train", "")]
+    for _ in range(2):
+        writers.append(df, f"{tmp_path}/a")
+    assert spark.read.parquet(f"{tmp_path}/a").count() == 4
+    writers.write_epochs(df, f"{tmp_path}/e")
+    assert {(r["id"], r["epoch"]) for r in spark.read.json(f"{tmp_path}/e").collect()} == {(1, 0), (2, 1)}
+    writers.write_splits(df, f"{tmp_path}/s", ("x", "y"))
+    assert [spark.read.parquet(f"{tmp_path}/s/{x}").count() for x in "xy"] == [2, 2]
+    runs = spark.createDataFrame([("m", 1, 0, 0.5), ("m", 1, 1, 0.25)], "aug string, seq int, seed int, logit double")
+    writers.write_predictions(runs, f"{tmp_path}/r")
+    writers.write_predictions(runs.where("seed = 1").withColumn("logit", F.lit(9.0)), f"{tmp_path}/r")
+    assert {(r["seed"], r["logit"]) for r in spark.read.parquet(f"{tmp_path}/r").collect()} == {(0, 0.5), (1, 9.0)}
+
+
+def test_checkpoints_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from textloom.plans.lineage import checkpoint_dir
+
+    def session(master, known=None):
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda x: None)
+        return SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, default: known))
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(session("spark://host:7077"))
+    with pytest.raises(ValueError):
+        checkpoint_dir(session("local-cluster[3,2,1000]"))
+    assert checkpoint_dir(session("yarn", "hdfs://x/y")) == "hdfs://x/y" and checkpoint_dir(session("local[4]"))

@@ -33,7 +33,8 @@ def summary(means: DataFrame, baseline: str) -> DataFrame:
 
 def pivot_with_margin(means: DataFrame, methods: list[str]) -> DataFrame:
     """(seq, one column for each method): means, with a last row of column means whose seq is null."""
-    return means.groupBy("seq").pivot("aug", methods).agg(F.avg("v")).unionByName(means.groupBy(F.lit(None).cast("int").alias("seq")).pivot("aug", methods).agg(F.avg("v")))
+    columns = [F.avg(F.when(F.col("aug") == x, F.col("v"))).alias(x) for x in methods]
+    return means.groupingSets([[F.col("seq")], []], "seq").agg(*columns).select("seq", *methods)
 
 
 def win_rates(means: DataFrame, baseline: str) -> DataFrame:

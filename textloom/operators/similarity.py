@@ -47,8 +47,8 @@ def _blocks(refs: DataFrame) -> Iterator[tuple[list[str], np.ndarray]]:
         last = rows[-1]["id"]
 
 
-def _reduced(labels: list[str], m: np.ndarray, own: bool, how: str):
-    """Per row the max, or the sum and count, of its similarities to the block's vectors of its own or the other class."""
+def _reduced(labels: list[str], m: np.ndarray):
+    """Per row the maximum, sum and count of its similarities to the block's vectors of its own and of the other classes."""
     marks = np.array(labels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,31 +56,43 @@ def _reduced(labels: list[str], m: np.ndarray, own: bool, how: str):
             if not len(pdf):
                 continue
             sims = np.stack(pdf["v"].to_numpy()) @ m.T
-            use = (pdf["class_label"].to_numpy()[:, None] == marks) == own
-            if how == "max":
-                out = np.where(use, sims, -np.inf).max(axis=1)
-                yield pd.DataFrame({"id": pdf["id"], "sim": out, "n": use.any(axis=1).astype(int)})
-            else:
-                yield pd.DataFrame({"id": pdf["id"], "sim": np.where(use, sims, 0.0).sum(axis=1), "n": use.sum(axis=1)})
+            own = pdf["class_label"].to_numpy()[:, None] == marks
+            out = {"id": pdf["id"], "class_label": pdf["class_label"]}
+            for name, use in (("own", own), ("other", ~own)):
+                out[f"{name}_max"] = np.where(use, sims, -np.inf).max(axis=1)
+                out[f"{name}_sum"] = np.where(use, sims, 0.0).sum(axis=1)
+                out[f"{name}_n"] = use.sum(axis=1)
+            yield pd.DataFrame(out)
 
     return run
 
 
-def reference_similarity(candidates: DataFrame, refs: DataFrame, own: bool = True, how: str = "max") -> DataFrame:
-    """(id, sim) of candidates(id, class_label, v): the max or mean similarity to the references(id, class_label, v) of the
-    own class, or of the other one. A candidate whose class has no reference has a null sim.
+def reference_scores(candidates: DataFrame, refs: DataFrame) -> DataFrame:
+    """(id, class_label, own_max, own_mean, other_max, other_mean) of candidates(id, class_label, v): the greatest and the mean
+    similarity to the references(id, class_label, v) of the own class and of the others, null where there are none.
+
+    References go to the tasks in blocks of bounded size, so candidates never move; each block is one matrix product, and
+    all four measures come from one pass. Only with several blocks are their results brought together."""
+    schema = "id long, class_label string, " + ", ".join(f"{x}_max double, {x}_sum double, {x}_n long" for x in ("own", "other"))
+    parts = [candidates.select("id", "class_label", "v").mapInPandas(_reduced(labels, m), schema) for labels, m, _ in _blocks(refs)]
+    if not parts:
+        none = F.lit(None).cast("double")
+        return candidates.select("id", "class_label", *[none.alias(f"{x}_{y}") for x in ("own", "other") for y in ("max", "mean")])
+    whole = parts[0]
+    if len(parts) > 1:
+        for p in parts[1:]:
+            whole = whole.unionByName(p)
+        whole = whole.groupBy("id", "class_label").agg(*[f(f"{x}_{y}").alias(f"{x}_{y}") for x in ("own", "other") for y, f in (("max", F.max), ("sum", F.sum), ("n", F.sum))])
+    found = []
+    for x in ("own", "other"):
+        found += [F.when(F.col(f"{x}_n") > 0, F.col(f"{x}_max")).alias(f"{x}_max"), F.try_divide(f"{x}_sum", f"{x}_n").alias(f"{x}_mean")]
+    return whole.select("id", "class_label", *found)
 
-    References go to the tasks in blocks of bounded size, so candidates never move; each block is one matrix product.
-    """
-    parts = None
-    for labels, m, _ in _blocks(refs):
-        one = candidates.mapInPandas(_reduced(labels, m, own, how), "id long, sim double, n long")
-        parts = one if parts is None else parts.unionByName(one)
-    if parts is None:
-        return candidates.select("id", F.lit(None).cast("double").alias("sim"))
-    by = parts.groupBy("id")
-    sim = F.max(F.when(F.col("n") > 0, F.col("sim"))) if how == "max" else F.try_divide(F.sum("sim"), F.sum("n"))
-    return by.agg(sim.alias("sim"))
+
+def reference_similarity(candidates: DataFrame, refs: DataFrame, own: bool = True, how: str = "max") -> DataFrame:
+    """(id, class_label, sim) of candidates: the max or mean similarity to the references of the own class, or of the others;
+    see reference_scores. A candidate whose class has no reference has a null sim."""
+    return reference_scores(candidates, refs).select("id", "class_label", F.col(f"{'own' if own else 'other'}_{how}").alias("sim"))
 
 
 def top_scored(scored: DataFrame, groups: list[str], score: str, keep: int, row_id: str = "id") -> DataFrame:
@@ -90,29 +102,22 @@ def top_scored(scored: DataFrame, groups: list[str], score: str, keep: int, row_
 
 
 def class_gap(candidates: DataFrame, refs: DataFrame, how: str = "mean", weight: float = 1.0) -> DataFrame:
-    """(id, gap): similarity to the own class less weight times that to the other; how is 'mean' or 'max'."""
+    """(id, class_label, gap): similarity to the own class less weight times that to the other; how is 'mean' or 'max'."""
     if how not in ("mean", "max"):
         raise ValueError(f"unknown aggregate {how}")
-    same = reference_similarity(candidates, refs, True, how).withColumnRenamed("sim", "same")
-    other = reference_similarity(candidates, refs, False, how).withColumnRenamed("sim", "other")
-    return same.join(other, "id").select("id", (F.col("same") - weight * F.coalesce("other", F.lit(0.0))).alias("gap"))
-
+    gap = F.col(f"own_{how}") - weight * F.coalesce(F.col(f"other_{how}"), F.lit(0.0))
+    return reference_scores(candidates, refs).select("id", "class_label", gap.alias("gap"))
 
-def maximin(ids: np.ndarray, v: np.ndarray, keep: int) -> list[int]:
-    """Positions of a greedy diverse choice: from the smallest id on, always the vector farthest from those chosen.
 
-    Distances are 1 - cosine and begin at 1.0, so they never count as more; ties go to the smaller id."""
-    order = np.argsort(ids, kind="stable")
-    v = v[order]
-    if len(v) <= keep:
-        return order.tolist()
-    least, chosen, at = np.ones(len(v)), [], 0
-    for _ in range(keep):
-        chosen.append(at)
-        least = np.minimum(least, 1 - v @ v[at])
-        least[chosen] = -1
-        at = int(np.argmax(np.round(least, 9)))
-    return order[chosen].tolist()
+def gap_pipeline(candidates: DataFrame, refs: DataFrame, target: int, how: str = "mean", weight: float = 1.0) -> DataFrame:
+    """(class_label, id, place): of each class the candidates of the greatest gap, down to halfway between their number and
+    target, then the most diverse target of them. The midpoint isn't bounded by the number of candidates, so a class
+    of fewer candidates than target keeps all."""
+    n = candidates.groupBy("class_label").agg(F.count("*").alias("n"))
+    keep = n.select("class_label", (F.lit(target) + F.floor((F.col("n") - target) / 2)).alias("mid"))
+    scored = class_gap(candidates, refs, how, weight).withColumnRenamed("gap", "sim").join(F.broadcast(keep), "class_label")  # one row a class
+    near = candidates.join(nearest_half(scored).select("id"), "id", "left_semi")
+    return diverse(near, ["class_label"], target)
 
 
 def _farthest(chosen: dict[str, tuple[np.ndarray, set]]):
@@ -140,7 +145,8 @@ def _farthest(chosen: dict[str, tuple[np.ndarray, set]]):
 
 
 def diverse(df: DataFrame, groups: list[str], keep: int) -> DataFrame:
-    """(groups, id, place): a greedy maximin choice of keep rows of each group of df(groups, id, v), as maximin() makes.
+    """(groups, id, place): a greedy diverse choice of keep rows of each group of df(groups, id, v): first the smallest
+    id, then always the vector farthest from all chosen, where 1 - cosine counts as 1 at most and ties go to the smaller id.
 
     The choice goes in rounds: every task compares its rows with the vectors chosen so far, in one matrix product, and
     gives its farthest of each group, of which the best is chosen. Rows stay where they are, the lineage is cut once and
@@ -180,7 +186,7 @@ def filter_pipeline(candidates: DataFrame, refs: DataFrame, target: int) -> Data
     diverse target of them. Fewer candidates than target are all kept."""
     n = candidates.groupBy("class_label").agg(F.count("*").alias("n"))
     keep = n.select("class_label", F.least("n", F.lit(target) + F.floor((F.col("n") - target) / 2)).alias("mid"))
-    scored = candidates.select("id", "class_label").join(reference_similarity(candidates, refs), "id").join(F.broadcast(keep), "class_label")
+    scored = reference_similarity(candidates, refs).join(F.broadcast(keep), "class_label")  # one row a class
     near = candidates.join(nearest_half(scored).select("id"), "id", "left_semi")
     return diverse(near, ["class_label"], target)
 
@@ -296,6 +302,48 @@ def contrast(df: DataFrame, label: str) -> DataFrame:
     return x.select(same.alias("same"), other.alias("other"), (same - other).alias("gap"))
 
 
+def _range(labels: np.ndarray, m: np.ndarray, ids: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            sims = m @ np.stack(pdf["v"].to_numpy()).T
+            own, group = pdf["id"].to_numpy(), pdf["class_label"].to_numpy()
+            for g in np.unique(labels):
+                use = (labels == g)[:, None] & (group == g) & (ids[:, None] != own)
+                if use.any():
+                    x = sims[use]
+                    yield pd.DataFrame({"class_label": [g], "least": [x.min()], "most": [x.max()], "total": [x.sum()], "n": [x.size]})
+
+    return run
+
+
+def similarity_range(df: DataFrame, queries: DataFrame) -> DataFrame:
+    """(class_label, least, most, mean): of the similarities of each query to the other rows of df(id, class_label, v) of its class.
+
+    Queries go to the tasks in blocks; a task gives one row for each label of a batch."""
+    parts = None
+    for labels, m, ids in _blocks(queries):
+        one = df.mapInPandas(_range(np.array(labels), m, ids), "class_label string, least double, most double, total double, n long")
+        parts = one if parts is None else parts.unionByName(one)
+    if parts is None:
+        return df.sparkSession.createDataFrame([], "class_label string, least double, most double, mean double")
+    by = parts.groupBy("class_label").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return by.select("class_label", "least", "most", (F.col("total") / F.col("n")).alias("mean"))
+
+
+def contrastive_loss(df: DataFrame, batch: str, label: str, temperature: float) -> DataFrame:
+    """(batch, loss): supervised contrastive loss of each batch of df(id, v, batch, label), which has a bounded number of rows.
+
+    Of each row with another of its label in the batch, the mean over those of the negative log of its share of the
+    exponentials of the similarities to all other rows; then the mean over the rows."""
+    x = df.select(F.col("id").alias("i"), batch, F.col(label).alias("li"), F.col("v").alias("vi"))
+    y = df.select(F.col("id").alias("j"), batch, F.col(label).alias("lj"), F.col("v").alias("vj"))
+    pairs = x.join(y, batch).where("i <> j").select(batch, "i", (F.col("li") == F.col("lj")).alias("own"), (dot(F.col("vi"), F.col("vj")) / temperature).alias("s"))
+    one = pairs.groupBy(batch, "i").agg(F.log(F.sum(F.exp("s"))).alias("all"), F.avg(F.when(F.col("own"), F.col("s"))).alias("mean"))
+    return one.where("mean IS NOT NULL").groupBy(batch).agg(F.avg(F.col("all") - F.col("mean")).alias("loss"))
+
+
 def _best(ids: np.ndarray, m: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one is set only where the session names none."""
+    """The shared folder of the session. Where the session names none, a temporary one is set if all runs in one process;
+    on a cluster that is an error, as executors don't see the driver's disk."""
     sc = spark.sparkContext
     known = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         known = tempfile.mkdtemp(prefix="textloom-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(known)
@@ -27,10 +31,14 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give a small scan at least one partition for each core, so that a Python stage uses them all.
 
-    Round robin moves every row once; a scan that already has as many partitions is left alone.
+    Round robin moves every row once; a scan that is large enough to have as many partitions is left alone, as judged by
+    the size that the optimizer knows, without running anything.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+    spark = df.sparkSession
+    wanted = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    part = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df if size >= wanted * part else df.repartition(wanted)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

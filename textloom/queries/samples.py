@@ -43,7 +43,7 @@ def per_topic_split(spark, d):
 @query(with_views("claims", f", {LABELLED} SELECT Sentence_id, CASE WHEN rn <= 500 THEN 'train' WHEN rn <= 550 THEN 'dev' ELSE 'rest' END AS part FROM l"))
 def fixed_split(spark, d):
     part = F.when(F.col("rn") <= 500, "train").when(F.col("rn") <= 550, "dev").otherwise("rest")
-    return s.ranked(_labelled(spark, d), ["class_label"], "Sentence_id").select("Sentence_id", part.alias("part"))
+    return s.placed(_labelled(spark, d), ["class_label"], "Sentence_id").select("Sentence_id", part.alias("part"))
 
 
 @query(with_views("claims", f", {LABELLED} SELECT Sentence_id, CAST(CASE WHEN (rn - 1) // 50 < 4 THEN (rn - 1) // 50 ELSE -1 END AS INT) AS subset FROM l"))
@@ -80,7 +80,7 @@ def real_synth_mix(spark, d):
 @query(with_views("claims", f", {LABELLED} SELECT Sentence_id, CASE WHEN rn <= 32 THEN 'reference' WHEN rn <= 64 THEN 'fewshot' ELSE 'rest' END AS part FROM l"))
 def fewshot_ref_rest(spark, d):
     part = F.when(F.col("rn") <= 32, "reference").when(F.col("rn") <= 64, "fewshot").otherwise("rest")
-    return s.ranked(_labelled(spark, d), ["class_label"], "Sentence_id").select("Sentence_id", part.alias("part"))
+    return s.placed(_labelled(spark, d), ["class_label"], "Sentence_id").select("Sentence_id", part.alias("part"))
 
 
 @query(with_views("claims", f", {LABELLED} SELECT CAST((rn - 1) // 60 AS INT) AS seq, CAST((rn - 1) % 60 // 20 AS INT) AS step, Sentence_id FROM l WHERE rn <= 180"))
@@ -126,7 +126,7 @@ def prevalence_resample(spark, d):
 def restore_balance(spark, d):
     p = pool(spark, d).where("class_label IS NOT NULL").select("row_id", "run", "class_label")
     k = p.groupBy("run").agg(F.least(F.count_if(F.col("class_label") == "Yes"), F.count_if(F.col("class_label") == "No")).alias("k"))
-    return s.ranked(p, ["run", "class_label"], "row_id").join(k, "run").where("rn <= k").select("row_id", "run", "class_label")
+    return s.placed(p, ["run", "class_label"], "row_id").join(k, "run").where("rn <= k").select("row_id", "run", "class_label")
 
 
 @query(with_views("templates", """, e AS (SELECT CAST(epoch AS INT) AS epoch, row_id, class_label, row_number() OVER (PARTITION BY epoch, class_label ORDER BY md5('42:' || epoch || ':' || row_id), row_id) AS rn
@@ -137,7 +137,9 @@ def prompt_batches(spark, d):
     return s.cycles(base, "row_id", 3, 5, ["class_label"]).select("epoch", "class_label", "batch", "row_id")
 
 
-@query()
+@query(with_views("claims", f""", {LABELLED}, d AS (SELECT draw, CAST('0x' || substr(md5('42:' || draw), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS k, CAST('0x' || substr(md5('43:' || draw), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM range(0, 1000) t(draw)),
+  x AS (SELECT class_label, n, row_number() OVER (ORDER BY class_label) - 1 AS k, count(*) OVER () AS labels FROM (SELECT DISTINCT class_label, n FROM l))
+  SELECT draw, l.class_label, l.Sentence_id FROM d JOIN x ON x.k = floor(d.k * x.labels) JOIN l ON l.class_label = x.class_label AND l.rn = floor(d.u * x.n) + 1"""))
 def weighted_draws(spark, d):
     return s.weighted_draws(_labelled(spark, d), "class_label", "Sentence_id", 1000).select("draw", "class_label", "Sentence_id")
 
@@ -150,7 +152,7 @@ def cross_topic_sets(spark, d):
     return pairs.select("base", "augment", (F.col("nb") + F.col("na")).alias("size"))
 
 
-@query(with_views("pool", "SELECT run, count(*) AS n, CAST(greatest(1, 70000 // count(*)) AS BIGINT) AS epochs FROM pool GROUP BY 1"))
+@query(with_views("pool", "SELECT run, count(*) AS n, CAST(least(100, 70000 // count(*)) AS BIGINT) AS epochs FROM pool GROUP BY 1"))
 def training_budget(spark, d):
     n = F.count("*")
-    return pool(spark, d).groupBy("run").agg(n.alias("n"), F.greatest(F.lit(1), F.floor(70000 / n)).alias("epochs"))
+    return pool(spark, d).groupBy("run").agg(n.alias("n"), F.least(F.lit(100), F.floor(70000 / n)).alias("epochs"))

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from textloom.operators import experiments as ex
 from textloom.queries.base import query
-from textloom.queries.evaluations import RUN_METRICS, run_metrics
-from textloom.sources.views import with_views
+from textloom.operators import evaluation as ev
+from textloom.plans.lineage import cut
+from textloom.queries.evaluations import RUN, RUN_METRICS
+from textloom.sources.views import predictions, with_views
 
 BASE = "view"
 METHODS = ["click", "error", "purchase", "signup", "view"]
@@ -19,7 +21,9 @@ t AS (SELECT aug, count(*) AS n, avg(diff) AS mean_diff, stddev_samp(diff) AS sd
 
 
 def _runs(spark, d):
-    return run_metrics(spark, d).select("aug", "seq", "seed", F.col("ap").alias("value"))
+    """The runs with their average precision, a few hundred rows, written once as the comparisons read them several times."""
+    p = predictions(spark, d)
+    return cut(ev.average_precision(ev.curve(p, RUN), RUN).select(*RUN, F.col("ap").alias("value")))
 
 
 def _round(df, *names):
@@ -64,8 +68,6 @@ def best_aug(spark, d):
   SELECT a.aug, s.seq, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT aug FROM r) a CROSS JOIN (SELECT DISTINCT seq FROM r) s
   LEFT JOIN n ON n.aug = a.aug AND n.seq = s.seq WHERE coalesce(n.n, 0) < 3"""))
 def completeness(spark, d):
-    from textloom.sources.views import predictions
-
     large = predictions(spark, d).groupBy("aug", "seq", "seed").agg(F.count("*").alias("n")).where("n >= 40").drop("n")
     return ex.incomplete(large, 3)
 

@@ -25,21 +25,21 @@ a AS (SELECT vec_id, class_label, max(sim) FILTER (own) AS best, avg(sim) FILTER
 @query(with_views("vectors", f", {SIMS} SELECT vec_id, class_label, round(best, 6) AS sim FROM a QUALIFY row_number() OVER (PARTITION BY class_label ORDER BY round(best, 9) DESC, vec_id) <= 50"))
 def nn_reference_topk(spark, d):
     c, r = _parts(spark, d)
-    scored = sim.reference_similarity(c, r).join(c.select("id", "class_label"), "id")
+    scored = sim.reference_similarity(c, r)
     return sim.top_scored(scored, ["class_label"], "sim", 50).select(F.col("id").alias("vec_id"), "class_label", F.round("sim", 6).alias("sim"))
 
 
 @query(with_views("vectors", f", {SIMS} SELECT vec_id, class_label, round(mean_own - mean_other, 6) AS gap FROM a QUALIFY row_number() OVER (PARTITION BY class_label ORDER BY round(mean_own - mean_other, 9) DESC, vec_id) <= 50"))
 def gap_topk_mean(spark, d):
     c, r = _parts(spark, d)
-    scored = sim.class_gap(c, r, "mean").join(c.select("id", "class_label"), "id")
+    scored = sim.class_gap(c, r, "mean")
     return sim.top_scored(scored, ["class_label"], "gap", 50).select(F.col("id").alias("vec_id"), "class_label", F.round("gap", 6).alias("gap"))
 
 
 @query(with_views("vectors", f", {SIMS} SELECT vec_id, class_label, round(best - 0.5 * best_other, 6) AS gap FROM a QUALIFY row_number() OVER (PARTITION BY class_label ORDER BY round(best - 0.5 * best_other, 9) DESC, vec_id) <= 50"))
 def gap_topk_max(spark, d):
     c, r = _parts(spark, d)
-    scored = sim.class_gap(c, r, "max", 0.5).join(c.select("id", "class_label"), "id")
+    scored = sim.class_gap(c, r, "max", 0.5)
     return sim.top_scored(scored, ["class_label"], "gap", 50).select(F.col("id").alias("vec_id"), "class_label", F.round("gap", 6).alias("gap"))
 
 

@@ -14,24 +14,26 @@ def _nulls(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.when(~F.col(f.name).isin(*NULLS), F.col(f.name)) for f in df.schema.fields if f.dataType.simpleString() == "string"})
 
 
-def delimited(spark: SparkSession, path: str | list[str], schema: StructType | str, sep: str = ",", tolerant: bool = False, recursive: bool = False) -> DataFrame:
-    """CSV with a header, quoted cells and line breaks in them; NULLS become null.
+def delimited(spark: SparkSession, path: str | list[str], schema: StructType | str, sep: str = ",", tolerant: bool = False, recursive: bool = False, multi_line: bool = False) -> DataFrame:
+    """CSV with a header and quoted cells; NULLS become null.
+
+    multi_line: cells may hold line breaks, which makes each file one task's work; without it files are split.
 
     tolerant: lines that don't fit are dropped instead of giving nulls. recursive: all files below the path."""
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     wide = StructType([*schema.fields, StructField("_bad", StringType())]) if tolerant else schema
-    r = spark.read.schema(wide).options(header=True, sep=sep, quote='"', escape='"', multiLine=True, columnNameOfCorruptRecord="_bad")
+    r = spark.read.schema(wide).options(header=True, sep=sep, quote='"', escape='"', multiLine=multi_line, columnNameOfCorruptRecord="_bad")
     df = r.option("recursiveFileLookup", recursive).csv(path)
     if tolerant:  # every column is read, so that a line is judged by all its cells even for a count
         df = df.where(F.col("_bad").isNull() & (F.length(F.concat_ws("", *[F.col(c).cast("string") for c in schema.names])) >= 0)).drop("_bad")
     return _nulls(df)
 
 
-def by_extension(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
-    """All .csv and .tsv files of a folder, each with its own delimiter, with the file they came from."""
+def by_extension(spark: SparkSession, folder: str, schema: StructType | str, multi_line: bool = False) -> DataFrame:
+    """All .csv and .tsv files of a folder, each with its own delimiter, with the file they came from; see delimited."""
     out = None
     for ext, sep in (("csv", ","), ("tsv", "\t")):
-        one = spark.read.schema(schema).options(header=True, sep=sep, quote='"', escape='"', multiLine=True, pathGlobFilter=f"*.{ext}", recursiveFileLookup=True)
+        one = spark.read.schema(schema).options(header=True, sep=sep, quote='"', escape='"', multiLine=multi_line, pathGlobFilter=f"*.{ext}", recursiveFileLookup=True)
         one = one.csv(folder).withColumn("file", F.col("_metadata.file_name"))
         out = one if out is None else out.unionByName(one)
     return _nulls(out)
@@ -47,6 +49,29 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return spark.read.schema(schema).json(path)
 
 
+def isolated(spark: SparkSession, folder: str, schema: StructType | str, sep: str = "\t") -> tuple[DataFrame, DataFrame]:
+    """(rows, failed): the rows of the files of a folder that fit the schema, with their file, and of each file that has lines
+    which don't its name and how many. A broken file never spoils the others; its good lines are kept."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    wide = StructType([*schema.fields, StructField("_bad", StringType())])
+    r = spark.read.schema(wide).options(header=True, sep=sep, quote='"', escape='"', columnNameOfCorruptRecord="_bad", recursiveFileLookup=True)
+    df = r.csv(folder).withColumn("file", F.col("_metadata.file_name"))
+    df = df.where(F.length(F.concat_ws("", *[F.col(c).cast("string") for c in schema.names])) >= 0)  # every column is read
+    bad = df.where("_bad IS NOT NULL").groupBy("file").agg(F.count("*").alias("lines"))
+    return _nulls(df.where("_bad IS NULL").drop("_bad")), bad
+
+
+def templates(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, text): each text file of a folder whole, as prompt templates are kept."""
+    return spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+
+
+def properties(spark: SparkSession, path: str) -> DataFrame:
+    """(category, name, features) of a JSON file {category: {name: [feature, ...]}}."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,array<string>>>").alias("m"))
+    return raw.select(F.explode("m").alias("category", "x")).select("category", F.explode("x").alias("name", "features"))
+
+
 def splits(spark: SparkSession, paths: dict[str, str], schema: StructType | str) -> DataFrame:
     """One table of the CSV files of several splits, with the column split."""
     out = None

@@ -18,8 +18,8 @@ def yes_no(label: Column) -> Column:
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """general_claim with one row for each id (the first added), label and topic brought to one spelling."""
-    first = Window.partitionBy("Sentence_id").orderBy("added_at", "stated_at", "Text")
-    raw = table(spark, sf_dir, "general_claim").withColumn("n", F.row_number().over(first)).where("n = 1")
+    rest = F.struct("Text", "class_label", "topic", "source", "style")
+    raw = table(spark, sf_dir, "general_claim").groupBy("Sentence_id").agg(F.min_by(rest, F.struct("added_at", "stated_at", "Text")).alias("r")).select("Sentence_id", "r.*")
     return raw.select("Sentence_id", "Text", yes_no(F.col("class_label")).alias("class_label"), F.lower(F.trim("topic")).alias("topic"), "source", "style")
 
 
@@ -38,7 +38,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings as doubles, with class Yes for labels under 5 and the split: the first 32 of each class by hash are refs."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label", F.when(F.col("label") < 5, "Yes").otherwise("No").alias("class_label"))
     order = Window.partitionBy("class_label").orderBy(F.md5(F.concat(F.lit("42:"), F.col("vec_id").cast("string"))), "vec_id")
-    return v.withColumn("is_ref", F.row_number().over(order) <= 32)
+    first = v.select("vec_id", "class_label").withColumn("n", F.row_number().over(order)).where("n <= 32")  # cut off before the shuffle
+    return v.join(F.broadcast(first.select("vec_id", F.lit(True).alias("is_ref"))), "vec_id", "left").withColumn("is_ref", F.coalesce("is_ref", F.lit(False)))  # 64 ids
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.plans.lineage import cut
+
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, overwrite: bool = False) -> None:
     """The columns as CSV with a header; a path that exists is an error unless it is to be overwritten."""
@@ -26,8 +28,14 @@ def write_epochs(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("epoch").json(path)
 
 
+def write_predictions(df: DataFrame, path: str, keys: tuple[str, ...] = ("aug", "seq", "seed")) -> None:
+    """Logits and labels of runs, one folder for each run; only the runs of df are replaced."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
 def write_artifact(df: DataFrame, path: str, name: str, version: int) -> None:
     """A version of a named data set with a manifest row; an empty one is refused, and a version is never replaced."""
+    df = cut(df)  # read twice
     if df.isEmpty():
         raise ValueError(f"{name} has no rows")
     df.write.mode("errorifexists").parquet(f"{path}/{name}/v{version}")
@@ -36,6 +44,7 @@ def write_artifact(df: DataFrame, path: str, name: str, version: int) -> None:
 
 
 def write_splits(df: DataFrame, path: str, splits: tuple[str, ...] = ("train", "validation", "test")) -> None:
-    """The same rows in every split."""
+    """The same rows in every split; df is computed once."""
+    df = cut(df)
     for s in splits:
         df.write.mode("overwrite").parquet(f"{path}/{s}")
