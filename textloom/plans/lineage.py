@@ -31,14 +31,15 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give a small scan at least one partition for each core, so that a Python stage uses them all.
 
-    Round robin moves every row once; a scan that is large enough to have as many partitions is left alone, as judged by
-    the size that the optimizer knows, without running anything.
+    Round robin moves every row once; files that are large enough for Spark to split them for all cores are left alone, as
+    judged by the size that the optimizer knows, without running anything.
     """
     spark = df.sparkSession
     wanted = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    part = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    return df if size >= wanted * part else df.repartition(wanted)
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    split = int(spark._jsparkSession.sessionState().conf().filesOpenCostInBytes())
+    return df if size >= wanted * split else df.repartition(wanted)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

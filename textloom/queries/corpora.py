@@ -10,7 +10,11 @@ from textloom.plans.lineage import cut, table
 from textloom.queries.base import query
 from textloom.sources.views import claims, pool, templates, with_views
 
-STOP = ["the", "of", "and", "in", "to", "a", "by", "for", "on", "at", "as", "that"]
+#: English function words (fixed values).
+STOP = """a about above after again against all am an and any are as at be because been before being below between both but by can could did do does doing down
+during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just let me more most my myself no nor not
+now of off on once only or other ought our ours ourselves out over own same shall she should so some such than that the their theirs them themselves then there these
+they this those through to too under until up us very was we were what when where which while who whom why will with would you your yours yourself yourselves""".split()
 TOKENS = r"""list_filter(regexp_split_to_array(trim(regexp_replace(lower(Text), '[\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}]+', ' ', 'g')), ' '), lambda x: x <> '')"""
 WORDS = r"regexp_extract_all(lower(Text), '[\p{L}\p{N}_]+')"
 COUNTS = f"t AS (SELECT run, unnest({TOKENS}) AS token FROM pool), n AS (SELECT run, token, count(*) AS n FROM t GROUP BY 1, 2)"
