@@ -68,3 +68,53 @@ def label_ids(df: DataFrame, label: str) -> DataFrame:
     The labels are first made distinct, so the window that numbers them holds as many rows as there are labels."""
     distinct = df.select(label).where(F.col(label).isNotNull()).distinct()
     return distinct.withColumn("label_id", F.row_number().over(Window.orderBy(label)) - 1)
+
+
+def label_ids_with_unseen(train: DataFrame, other: DataFrame, label: str) -> DataFrame:
+    """(label, label_id): the labels of train in order, then those that only other has, numbered on; -1 is for no label."""
+    known = train.select(label, F.lit(0).alias("_o")).where(F.col(label).isNotNull()).distinct()
+    more = other.select(label, F.lit(1).alias("_o")).where(F.col(label).isNotNull()).distinct().join(known.select(label), label, "left_anti")
+    whole = known.unionByName(more)  # one row for each label
+    return whole.select(label, (F.row_number().over(Window.orderBy("_o", label)) - 1).alias("label_id"))
+
+
+def encoded(label: Column, ids: DataFrame, df: DataFrame, name: str = "label_id") -> DataFrame:
+    """df with the number of its label; a label that is '-1' stays -1, and one without a number is null."""
+    key = ids.columns[0]
+    joined = df.withColumn("_l", label).join(F.broadcast(ids.select(F.col(key).alias("_l"), F.col("label_id").alias("_id"))), "_l", "left")  # labels are few
+    return joined.withColumn(name, F.when(F.col("_l") == "-1", F.lit(-1)).otherwise(F.col("_id"))).drop("_l", "_id")
+
+
+def one_hot(label_id: Column, n: Column) -> Column:
+    """An array of n numbers, 1 at the label's place."""
+    return F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: (i == label_id).cast("int"))
+
+
+def whole_number(text: Column) -> Column:
+    """A text as a whole number; anything else is an error, a null text stays null."""
+    ok = text.isNull() | text.rlike(r"^\s*[+-]?\d+\s*$")
+    return F.when(ok, F.trim(text).cast("bigint")).otherwise(F.raise_error(F.concat(F.lit("no whole number: "), text)).cast("bigint"))
+
+
+def label_words(label: Column) -> Column:
+    """1 and 0 as Yes and No; other labels stay, trimmed."""
+    bare = F.trim(label)
+    return F.when(bare == "1", "Yes").when(bare == "0", "No").otherwise(bare)
+
+
+def attach(df: DataFrame, values: DataFrame, key: str, defaults: dict[str, int]) -> DataFrame:
+    """df with the columns of values, one row for each key, joined by the key; where it has none, the defaults."""
+    return df.join(values, key, "left").fillna(defaults)
+
+
+def row_at(df: DataFrame, order: list[str], position: int) -> DataFrame:
+    """The row at a position from 0 in an order; an IndexError beyond the last row. Only position + 1 rows are sorted out."""
+    first = df.orderBy(*order).limit(position + 1)
+    if position < 0 or first.count() <= position:
+        raise IndexError(f"no row {position}")
+    return first.orderBy(*[F.desc(c) for c in order]).limit(1)
+
+
+def preferred(df: DataFrame, groups: list[str], best: Column, value: str) -> DataFrame:
+    """(groups, value): of each group the greatest value among its best rows, or else among all."""
+    return df.groupBy(*groups).agg(F.coalesce(F.max(F.when(best, F.col(value))), F.max(value)).alias(value))
