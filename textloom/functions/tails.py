@@ -43,6 +43,36 @@ def f_upper(f: float, n: float, m: float) -> float:
     return incomplete_beta(m / 2, n / 2, m / (m + n * f)) if f > 0 else 1.0
 
 
+def chi2_upper(x: float, n: float) -> float:
+    """Upper tail of chi-square with n degrees of freedom: a series below the mean, a continued fraction above."""
+    if x <= 0:
+        return 1.0
+    a, x = n / 2, x / 2
+    front = math.exp(-x + a * math.log(x) - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        k = a
+        while abs(term) > total * 1e-16:
+            k += 1
+            term *= x / k
+            total += term
+        return max(0.0, 1 - front * total)
+    b = x + 1 - a
+    c, d = 1e300, 1 / b
+    h = d
+    for i in range(1, 500):
+        num = -i * (i - a)
+        b += 2
+        d = num * d + b
+        d = 1 / (d if abs(d) > 1e-300 else 1e-300)
+        c = b + num / c
+        c = c if abs(c) > 1e-300 else 1e-300
+        h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return front * h
+
+
 @F.pandas_udf(T.DoubleType())
 def t_p_value(t: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a t statistic with n degrees of freedom; null in, null out."""
@@ -53,3 +83,9 @@ def t_p_value(t: pd.Series, n: pd.Series) -> pd.Series:
 def f_p_value(f: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     """Upper p of an F statistic with n and m degrees of freedom; null in, null out."""
     return pd.Series([None if pd.isna(a) or pd.isna(b) or pd.isna(c) else f_upper(float(a), float(b), float(c)) for a, b, c in zip(f, n, m, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def chi2_p_value(x: pd.Series, n: pd.Series) -> pd.Series:
+    """Upper p of a chi-square statistic with n degrees of freedom; null in, null out."""
+    return pd.Series([None if pd.isna(a) or pd.isna(b) or b <= 0 else chi2_upper(float(a), float(b)) for a, b in zip(x, n, strict=True)], dtype="float64")

@@ -109,7 +109,7 @@ def attach(df: DataFrame, values: DataFrame, key: str, defaults: dict[str, int])
 
 def row_at(df: DataFrame, order: list[str], position: int) -> DataFrame:
     """The row at a position from 0 in an order; an IndexError beyond the last row. Only position + 1 rows are sorted out."""
-    first = df.orderBy(*order).limit(position + 1)
+    first = df.orderBy(*order).limit(max(0, position + 1))
     if position < 0 or first.count() <= position:
         raise IndexError(f"no row {position}")
     return first.orderBy(*[F.desc(c) for c in order]).limit(1)

@@ -318,6 +318,15 @@ def _range(labels: np.ndarray, m: np.ndarray, ids: np.ndarray):
     return run
 
 
+def separation(df: DataFrame, group: str, side: str) -> DataFrame:
+    """(group, separation): in each group the squared distance of the mean vectors of the two sides; null with one side only."""
+    c = centroids(df, [group, side])
+    m = F.array_sort(F.collect_list(F.struct(F.col(side).alias("s"), "mean")))
+    diff = F.zip_with(F.col("m")[0]["mean"], F.col("m")[1]["mean"], lambda x, y: x - y)
+    by = c.groupBy(group).agg(m.alias("m"))  # two rows each
+    return by.select(group, F.when(F.size("m") == 2, F.aggregate(diff, F.lit(0.0), lambda s, x: s + x * x)).alias("separation"))
+
+
 def similarity_range(df: DataFrame, queries: DataFrame) -> DataFrame:
     """(class_label, least, most, mean): of the similarities of each query to the other rows of df(id, class_label, v) of its class.
 
