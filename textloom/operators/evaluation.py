@@ -52,6 +52,18 @@ def curve(df: DataFrame, run: list[str]) -> DataFrame:
     return c.withColumns({"precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("pos")), "fpr": ratio(F.col("fp"), F.col("neg"))})
 
 
+def with_end(c: DataFrame, run: list[str]) -> DataFrame:
+    """(run, score, precision, recall) of a curve with its last point: precision 1 at recall 0, without a score."""
+    end = c.select(*run).distinct().select(*run, F.lit(None).cast("double").alias("score"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    return c.select(*run, "score", "precision", "recall").unionByName(end)
+
+
+def micro_f1(df: DataFrame, labels: Column, predicted: Column) -> DataFrame:
+    """(tp, n_labels, n_predicted, f1) over all labels of rows with arrays of labels and of predictions."""
+    sums = df.agg(F.sum(F.size(F.array_intersect(labels, predicted))).alias("tp"), F.sum(F.size(F.array_distinct(labels))).alias("n_labels"), F.sum(F.size(F.array_distinct(predicted))).alias("n_predicted"))
+    return sums.withColumn("f1", ratio(2 * F.col("tp"), F.col("n_labels") + F.col("n_predicted")))
+
+
 def average_precision(c: DataFrame, run: list[str]) -> DataFrame:
     """(run, ap) of a curve: the sum of precision times the step in recall."""
     before = F.coalesce(F.lag("recall").over(Window.partitionBy(*run).orderBy(F.desc("score"))), F.lit(0.0))

@@ -151,14 +151,24 @@ def mix_grid(df: DataFrame, is_real: Column, total: int, steps: int, row_id: str
     return base.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps)))).where(F.when(F.col("_real"), F.col("rn") <= real).otherwise(F.col("rn") <= total - real)).drop("rn", "_real")
 
 
-def resampled(df: DataFrame, run: list[str], label: str, rate: float, row_id: str, seed: int = 42) -> DataFrame:
+def resampled(df: DataFrame, run: list[str], label: str, rate: float | list[float], row_id: str, seed: int | list[int] = 42) -> DataFrame:
     """Runs resampled to a share of positives: all positives and round(pos * (1 - rate) / rate) negatives, at least one.
 
     Where there are too few negatives, they are repeated in turn; runs without a positive stay as they are. The rounding
-    is half to even."""
+    is half to even. Several rates (column rate) share one ordering of the rows; several seeds (column draw) are that many
+    independent draws."""
     sizes = df.groupBy(*run).agg(F.sum(label).alias("_pos"), F.sum(1 - F.col(label)).alias("_neg"))
-    base = placed(df, [*run, label], row_id, seed).drop("in_group").join(sizes, run)
-    want = F.greatest(F.lit(1), F.bround(F.col("_pos") * (1 - rate) / rate).cast("int"))
+    if isinstance(seed, list):
+        each = df.withColumn("draw", F.explode(F.array(*map(F.lit, seed))))
+        key = F.md5(F.concat(F.col("draw").cast("string"), F.lit(":"), F.col(row_id).cast("string")))
+        base = placed(each, [*run, "draw", label], row_id, key=key).drop("in_group").join(sizes, run)
+    else:
+        base = placed(df, [*run, label], row_id, seed).drop("in_group").join(sizes, run)
+    if isinstance(rate, list):
+        base, share = base.withColumn("rate", F.explode(F.array(*map(F.lit, rate)))), F.col("rate")
+    else:
+        share = F.lit(rate)
+    want = F.greatest(F.lit(1), F.bround(F.col("_pos") * (1 - share) / share).cast("int"))
     times = F.when((F.col(label) == 1) | (F.col("_pos") == 0), 1).otherwise(F.floor((want - F.col("rn")) / F.col("_neg")) + 1)
     base = base.withColumn("_times", times.cast("int")).where("_times > 0")
     return base.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("rn", "_pos", "_neg", "_times")

@@ -125,12 +125,108 @@ def mean_pr_curve(spark, d):
   s AS (SELECT aug, rate, seq, avg(f1) AS f1 FROM f GROUP BY 1, 2, 3)
   SELECT aug, rate, round(avg(f1), 6) AS mean, round(stddev_samp(f1) / sqrt(count(*)), 6) AS se FROM s GROUP BY 1, 2"""))
 def f1_vs_base_rate(spark, d):
-    out = None
-    for rate in (0.13, 0.25, 0.5):
-        c = ev.scores_of(ev.confusion(resampled(predictions(spark, d), RUN, "label", rate, "row_id"), RUN))
-        one = ev.two_level(c, "aug", "seq", "f1").select("aug", F.lit(rate).alias("rate"), "mean", "se")
-        out = one if out is None else out.unionByName(one)
-    return _round(out, "mean", "se")
+    r = resampled(predictions(spark, d), RUN, "label", [0.13, 0.25, 0.5], "row_id")
+    f = ev.scores_of(ev.confusion(r, [*RUN, "rate"])).groupBy("aug", "rate", "seq").agg(F.avg("f1").alias("f1"))
+    return _round(f.groupBy("aug", "rate").agg(F.avg("f1").alias("mean"), (F.stddev_samp("f1") / F.sqrt(F.count("*"))).alias("se")), "mean", "se")
+
+
+@query(with_views("predictions", """, s AS (SELECT * FROM (VALUES (1), (2), (3)) t(draw)), r AS (SELECT *, row_number() OVER (PARTITION BY aug, seq, seed, draw, label ORDER BY md5(draw || ':' || row_id), row_id) AS rn FROM predictions, s),
+  w AS (SELECT aug, seq, seed, sum(label) AS pos, sum(1 - label) AS neg FROM predictions GROUP BY 1, 2, 3),
+  q AS (SELECT r.*, pos, neg, t.rate, greatest(1, CAST(round_even(pos * (1 - t.rate) / t.rate, 0) AS BIGINT)) AS want FROM r JOIN w USING (aug, seq, seed), (VALUES (CAST(0.13 AS DOUBLE)), (0.5)) t(rate)),
+  t AS (SELECT *, CASE WHEN label = 1 OR pos = 0 THEN 1 ELSE floor((want - rn) / neg) + 1 END AS times FROM q),
+  pts AS (SELECT aug, seq, seed, draw, rate, score, sum(times * label) AS p, sum(times * (1 - label)) AS n FROM t WHERE times > 0 GROUP BY 1, 2, 3, 4, 5, 6),
+  c AS (SELECT *, sum(p) OVER d AS tp, sum(n) OVER d AS fp, sum(p) OVER (PARTITION BY aug, seq, seed, draw, rate) AS allpos FROM pts WINDOW d AS (PARTITION BY aug, seq, seed, draw, rate ORDER BY score DESC)),
+  f AS (SELECT aug, seq, seed, draw, rate, max(coalesce(2 * tp / nullif(tp + fp + allpos, 0), 0)) AS f1 FROM c GROUP BY 1, 2, 3, 4, 5), m AS (SELECT aug, rate, seq, avg(f1) AS f1 FROM f GROUP BY 1, 2, 3)
+  SELECT aug, rate, round(avg(f1), 6) AS mean, round(stddev_samp(f1) / sqrt(count(*)), 6) AS se FROM m GROUP BY 1, 2"""))
+def optimal_f1_vs_base_rate(spark, d):
+    """The best F1 of each run at two rates, over three draws."""
+    runs = [*RUN, "draw", "rate"]
+    r = resampled(predictions(spark, d), RUN, "label", [0.13, 0.5], "row_id", [1, 2, 3])
+    f = ev.best_f1(ev.curve(r, runs), runs).groupBy("aug", "rate", "seq").agg(F.avg("f1").alias("f1"))
+    return _round(f.groupBy("aug", "rate").agg(F.avg("f1").alias("mean"), (F.stddev_samp("f1") / F.sqrt(F.count("*"))).alias("se")), "mean", "se")
+
+
+@query(with_views("predictions", f""", {CURVE} SELECT aug, seq, seed, score, round(prec, 6) AS "precision", round(rec, 6) AS recall FROM pr UNION ALL SELECT DISTINCT aug, seq, seed, NULL, 1.0, 0.0 FROM pr"""))
+def pr_curve_closed(spark, d):
+    """The curve of each run with its end at precision 1 and recall 0."""
+    return _round(ev.with_end(ev.curve(predictions(spark, d), RUN), RUN), "precision", "recall")
+
+
+F1_AT = """round(coalesce(2 * count_if(score >= {0} AND label = 1) / nullif(count_if(score >= {0}) + count_if(label = 1), 0), 0), 6)"""
+
+
+@query(with_views("predictions", f""", {RUN_METRICS}, f AS (SELECT aug, seq, seed, count(*) AS n, round(avg(label), 6) AS pos_rate, {F1_AT.format("0.35")} AS f1_35, {F1_AT.format("0.5")} AS f1_50, {F1_AT.format("0.65")} AS f1_65 FROM predictions GROUP BY 1, 2, 3)
+  SELECT f.*, round(ap.ap, 6) AS ap, round(best.f1, 6) AS best_f1, best.threshold FROM f JOIN ap USING (aug, seq, seed) JOIN best USING (aug, seq, seed)"""))
+def run_metric_table(spark, d):
+    """One row for each run with all its measures."""
+    p = predictions(spark, d)
+    c = ev.curve(p, RUN)
+    at = ev.f1_at(p, RUN, [0.35, 0.5, 0.65]).groupBy(*RUN).agg(*[F.max(F.when(F.col("threshold") == t, F.col("f1"))).alias(f"f1_{round(t * 100)}") for t in (0.35, 0.5, 0.65)])
+    size = p.groupBy(*RUN).agg(F.count("*").alias("n"), F.avg("label").alias("pos_rate"))
+    whole = size.join(at, RUN).join(ev.average_precision(c, RUN), RUN).join(ev.best_f1(c, RUN).withColumnRenamed("f1", "best_f1"), RUN)
+    return _round(whole, "pos_rate", "f1_35", "f1_50", "f1_65", "ap", "best_f1")
+
+
+@query(with_views("predictions", f""", {POOLED}, ap AS (SELECT aug, sum((rec - before) * prec) AS ap FROM (SELECT *, coalesce(lag(rec) OVER (PARTITION BY aug ORDER BY score DESC), 0) AS before FROM pr) GROUP BY 1),
+  best AS (SELECT aug, max(round(2 * tp / (tp + fp + pos), 12)) AS f1 FROM pr GROUP BY 1), f AS (SELECT aug, count(*) AS n, round(avg(label), 6) AS pos_rate, {F1_AT.format("0.5")} AS f1_50 FROM predictions GROUP BY 1)
+  SELECT f.*, round(ap, 6) AS ap, round(best.f1, 6) AS best_f1, rank() OVER (ORDER BY round(ap, 6) DESC) AS rank FROM f JOIN ap USING (aug) JOIN best USING (aug)"""))
+def pooled_table(spark, d):
+    """The measures of each method over all its runs together, and its rank."""
+    from textloom.operators.experiments import ranks
+
+    p = predictions(spark, d)
+    c = ev.curve(p, ["aug"])
+    size = p.groupBy("aug").agg(F.count("*").alias("n"), F.avg("label").alias("pos_rate"))
+    whole = size.join(ev.f1_at(p, ["aug"], [0.5]).select("aug", F.col("f1").alias("f1_50")), "aug").join(ev.average_precision(c, ["aug"]), "aug").join(ev.best_f1(c, ["aug"]).select("aug", F.col("f1").alias("best_f1")), "aug")
+    rounded = _round(whole, "pos_rate", "f1_50", "ap", "best_f1").withColumn("_all", F.lit(0))
+    return ranks(rounded, ["_all"], "ap").drop("_all").withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(with_views("predictions", f""", x AS (SELECT aug, seq, seed, t.threshold, coalesce(2 * count_if(score >= t.threshold AND label = 1) / nullif(count_if(score >= t.threshold) + count_if(label = 1), 0), 0) AS f1 FROM predictions, (VALUES (CAST(0.35 AS DOUBLE)), (0.5), (0.65)) t(threshold) GROUP BY 1, 2, 3, 4),
+  m AS (SELECT threshold, aug, round(avg(f1), 9) AS f1 FROM (SELECT threshold, aug, seq, avg(f1) AS f1 FROM x GROUP BY 1, 2, 3) GROUP BY 1, 2), r AS (SELECT *, rank() OVER (PARTITION BY threshold ORDER BY f1 DESC) AS r FROM m)
+  SELECT threshold, string_agg(aug, ' > ' ORDER BY r, aug) AS methods FROM r GROUP BY 1"""))
+def rank_per_threshold(spark, d):
+    """The methods in the order of their mean F1 at each threshold."""
+    from textloom.operators.experiments import ranks
+
+    f = ev.f1_at(predictions(spark, d), RUN, [0.35, 0.5, 0.65]).groupBy("threshold", "aug", "seq").agg(F.avg("f1").alias("f1"))
+    r = ranks(f.groupBy("threshold", "aug").agg(F.round(F.avg("f1"), 9).alias("f1")), ["threshold"], "f1")
+    order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "aug"))), lambda x: x["aug"]), " > ")
+    return r.groupBy("threshold").agg(order.alias("methods"))  # a row for each method
+
+
+@query(with_views("predictions", f""", {CONFUSION}, f AS (SELECT aug, seq, avg(coalesce(tp / nullif(tp + fp, 0), 0)) AS p, avg(coalesce(tp / nullif(tp + fn, 0), 0)) AS r, avg((tp + tn) / (tp + tn + fp + fn)) AS a FROM c GROUP BY 1, 2)
+  SELECT aug, count(*) AS n, round(avg(p), 6) AS "precision", round(avg(r), 6) AS recall, round(avg(a), 6) AS accuracy FROM f WHERE seq IN (SELECT seq FROM f WHERE aug = 'view') GROUP BY 1"""))
+def summary_metrics(spark, d):
+    """Mean precision, recall and accuracy of each method over the sequences that the baseline has, too."""
+    from textloom.operators.experiments import on_common
+
+    values = ["precision", "recall", "accuracy"]
+    m = ev.scores_of(ev.confusion(predictions(spark, d), RUN)).groupBy("aug", "seq").agg(*[F.avg(v).alias(v) for v in values])
+    return _round(on_common(m, "view", values), *values)
+
+
+@query(with_views("claims", """, s AS (SELECT Sentence_id, class_label, topic, style, source, CAST(length(Text) > 300 AS INT) AS predicted FROM claims WHERE Text IS NOT NULL AND class_label IS NOT NULL),
+  w AS (SELECT unnest([{'dim': 'topic', 'x': topic}, {'dim': 'style', 'x': style}, {'dim': 'source', 'x': source}, {'dim': 'label', 'x': class_label}], recursive := true), CAST((class_label = 'Yes') <> (predicted = 1) AS INT) AS wrong FROM s)
+  SELECT dim, x AS value, count(*) AS n, CAST(sum(wrong) AS BIGINT) AS wrong FROM w GROUP BY 1, 2"""))
+def error_dimensions(spark, d):
+    """The errors of a rule that takes long texts for Yes, by topic, style, source and label."""
+    from textloom.sources.views import claims
+
+    c = claims(spark, d).where("Text IS NOT NULL AND class_label IS NOT NULL")
+    wrong = ((F.col("class_label") == "Yes") != (F.length("Text") > 300)).cast("int")
+    dims = F.array(*[F.struct(F.lit(n).alias("dim"), F.col(x).alias("value")) for n, x in (("topic", "topic"), ("style", "style"), ("source", "source"), ("label", "class_label"))])
+    return c.select(F.inline(dims), wrong.alias("wrong")).groupBy("dim", "value").agg(F.count("*").alias("n"), F.sum("wrong").alias("wrong"))
+
+
+@query("""WITH b AS (SELECT user_id, list(DISTINCT event_type) FILTER (event_id % 2 = 0) AS a, list(DISTINCT event_type) FILTER (event_id % 2 = 1) AS p FROM events GROUP BY 1)
+  SELECT CAST(sum(len(list_intersect(coalesce(a, []), coalesce(p, [])))) AS BIGINT) AS tp, CAST(sum(len(coalesce(a, []))) AS BIGINT) AS n_labels, CAST(sum(len(coalesce(p, []))) AS BIGINT) AS n_predicted,
+    round(2 * sum(len(list_intersect(coalesce(a, []), coalesce(p, [])))) / (sum(len(coalesce(a, []))) + sum(len(coalesce(p, [])))), 6) AS f1 FROM b""")
+def multilabel_f1(spark, d):
+    """Micro F1 of the kinds of a user's odd events as a prediction of those of the even ones."""
+    kind = F.col("event_id") % 2
+    by = table(spark, d, "events").groupBy("user_id").agg(F.collect_set(F.when(kind == 0, F.col("event_type"))).alias("a"), F.collect_set(F.when(kind == 1, F.col("event_type"))).alias("p"))
+    return _round(ev.micro_f1(by, F.col("a"), F.col("p")), "f1")
 
 
 @query(with_views("predictions", "SELECT row_id, label, CAST(score >= 0.5 AS INT) AS predicted FROM predictions WHERE label <> CAST(score >= 0.5 AS INT)"))
