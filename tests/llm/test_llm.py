@@ -411,3 +411,40 @@ def test_viterbi():
     assert sentencing.decode([1.0, -1.0, 2.0], [True, True, True]) == [True, False, True]
     assert sentencing.decode([1.0, 3.0], [True, False]) == [False, True]  # nothing between them
     assert sentencing.decode([], []) == []
+
+
+def test_chain_is_fitted_to_what_layout_shows():
+    counts = [("layout", "latin", "stop", "", 900), ("layout", "latin", "mark", "", 100), ("inner", "latin", "stop", "", 700), ("inner", "latin", "mark", "", 90), ("inner", "latin", "reported", "", 210),
+              ("inner", "latin", "goes on", "", 50), ("pair", "latin", "stop", "reported", 100), ("pair", "latin", "stop", "stop", 300)]
+    chain = sentencing.fit(counts, sentencing.CONVENTIONS)
+    assert chain.kinds["latin", "stop"] > 1 and chain.kinds["latin", "reported"] < -4 and ("latin", "goes on") not in chain.kinds
+    assert all(abs(x) < 3 for row in chain.steps for x in row)
+    # where layout shows that a kind does end sentences, that outweighs a convention against it
+    turned = sentencing.fit([("layout", "latin", "dots", "", 5000), ("inner", "latin", "dots", "", 5000)], sentencing.CONVENTIONS)
+    assert turned.kinds["latin", "dots"] > 0
+    assert sentencing.fit([], sentencing.CONVENTIONS) == sentencing.Chain()
+
+
+def test_layout_shows_boundaries():
+    text = "He left. And so on.\n\nThen we\nwent home!\n\nA heading\n\n- 2 items (of \u201ctwo.\u201d)\n- More"
+    assert list(sentencing._layout(text, sentencing.NEVER, sentencing.SOMETIMES)) == [("latin", "stop"), ("latin", "mark"), ("latin", "stop closed")]
+    assert list(sentencing._layout("ภาษีลดลง.\n\nราคาสูง", set(), set())) == [("thai", "thai space")]
+
+
+def test_trained_chain_finds_boundaries_held_out(spark, duck):
+    """Blocks of documents joined into one line: a chain trained on half of the documents finds the ends of the others' blocks."""
+    texts = [t for (t,) in duck.execute("SELECT text FROM documents WHERE text IS NOT NULL ORDER BY doc_id").fetchall()]
+    chain = sentencing.trained(spark.createDataFrame([(t,) for t in texts[::2]], "text string"), sentencing.NEVER, sentencing.SOMETIMES)
+    right = total = 0
+    for t in texts[1::2]:
+        blocks = [t[h:e].strip() for _, h, e in sentencing._blocks(t)]
+        for a, b in zip(blocks, blocks[1:], strict=False):
+            if a[-1:] in ".!?" and len(a) > 20 and b[:1].isalpha() and "\n" not in a + b:
+                line = a + " " + b
+                total += 1
+                right += any(e == len(a) for _, e in sentencing.units(line, chain=chain))
+    assert total > 40 and right / total > 0.97
+
+
+def test_word_before_a_number():
+    assert [sentencing._word_before(t, 0, len(t)) for t in ("am 3", "am 31", "am 311", "am3", "3", "x  7", "")] == ["am", "am", "", "", "", "x", ""]
