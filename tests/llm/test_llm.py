@@ -54,9 +54,24 @@ def test_same_as_duckdb(spark, duck, name):
     same(QUERIES[name](spark, SMALL), duck.execute(ORACLES[name]))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SMALL).count() >= 0
+def test_reports_agree_with_what_is_found(spark, duck):
+    """The queries without a statement, by the columns and counts that follow from the queries that have one."""
+    sizes = {r["cluster"]: (r["size"], len(r["typical"])) for r in QUERIES["p1_clusters"](spark, SMALL).collect()}
+    n_pairs = len(duck.execute(ORACLES["p1_found"]).fetchall())
+    assert sum(n * (n - 1) // 2 for n, _ in sizes.values()) == n_pairs and all(1 <= k <= min(3, n) for n, k in sizes.values())
+    report = QUERIES["p5_report"](spark, SMALL).collect()
+    hit = {r["other_id"]: r["coverage"] for r in QUERIES["p5_coverage"](spark, SMALL).collect()}
+    assert all(r["split"] != "train" and 0 <= r["n_hit"] <= r["n_rows"] for r in report) and sum(r["n_hit"] for r in report) >= len(hit) > 0 and all(0.3 < c <= 1 for c in hit.values())
+    found, groups = edits.p6_found(spark, SMALL).collect(), {(r["field"], r["row_id"]): r["grp"] for r in QUERIES["p6_groups"](spark, SMALL).collect()}
+    assert found and all(groups[r["field"], r["row_a"]] == groups[r["field"], r["row_b"]] for r in found)
+    matches = {(r["doc_id"], r["item_id"]): r["n_words"] for r in QUERIES["p8_matches"](spark, SMALL).collect()}
+    assert set(matches) == set(duck.execute(ORACLES["p8_found"]).fetchall()) and min(matches.values()) >= 8
+    sample = QUERIES["p2_sample"](spark, SMALL).groupBy("run", "class_label").count().collect()
+    taken = {(r, c): t for r, c, _, _, t in duck.execute(f"SELECT run, class_label, needed, available, taken FROM ({ORACLES['p2_report']})").fetchall()}
+    assert {(r["run"], r["class_label"]): r["count"] for r in sample} == {k: t for k, t in taken.items() if t}
+    subjects_found = QUERIES["p3_found"](spark, SMALL).collect()
+    shares = {r["subject"]: r["n_rows"] for r in QUERIES["p3_composition"](spark, SMALL).collect()}
+    assert shares == Counter(r["subject"] for r in subjects_found) and len(subjects_found) == len(set(subjects_found))
 
 
 @pytest.mark.parametrize("t", [0.5, 0.8])

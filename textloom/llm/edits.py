@@ -112,3 +112,13 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = edit_groups(_field(spark, sf_dir, f))[0].select(F.lit(f).alias("field"), F.col("id").alias("row_id"), "grp")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+_PAIRS = r"""
+SELECT '{0}' AS field, a AS row_a, b AS row_b FROM (
+  WITH w AS (SELECT row_id AS id, unnest(list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+'))) AS w FROM template_sequence),
+  n AS (SELECT id, count(*) AS n FROM w GROUP BY 1), p AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM w x JOIN w y ON x.w = y.w AND x.id < y.id GROUP BY 1, 2)
+  SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b JOIN template_sequence s ON s.row_id = a JOIN template_sequence t ON t.row_id = b WHERE shared >= 0.6 * (x.n + y.n - shared) AND s.{0} <> t.{0})"""
+
+#: All pairs by their common words, for small tables.
+ORACLES = {"p6_found": f"{_PAIRS.format('Text')} UNION ALL {_PAIRS.format('example')}"}

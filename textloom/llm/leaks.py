@@ -220,3 +220,15 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source): the documents that are left once those with a leak are removed."""
     leaked = _found(spark, sf_dir).select("doc_id").distinct()
     return table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(leaked, "doc_id", "left_anti")
+
+
+_WORDS_OF = r"""
+WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_item), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+a AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 7], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS k FROM i)),
+b AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS k FROM d))
+"""
+
+ORACLES = {
+    "p8_found": _WORDS_OF + "SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (g)",
+    "p8_clean": _WORDS_OF + "SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM a JOIN b USING (g))",
+}

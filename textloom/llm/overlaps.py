@@ -241,3 +241,13 @@ def p5_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     with shared spans (ties to the smaller id)."""
     best = F.max_by(F.struct("train_id", "coverage"), F.struct(F.round("coverage", 9), -F.col("train_id")))
     return _found(spark, sf_dir).groupBy("other_id").agg(best.alias("b")).select("other_id", "b.train_id", F.round("b.coverage", 6).alias("coverage"))
+
+
+#: All pairs across the splits by their common words, for small tables.
+ORACLES = {
+    "p5_found": r"""
+WITH t AS (SELECT DISTINCT Sentence_id AS id, split = 'train' AS train, Text FROM claim_split WHERE split IS NOT NULL AND Text IS NOT NULL),
+w AS (SELECT DISTINCT id, train, unnest(list_distinct(regexp_extract_all(lower(Text), '[\p{L}\p{N}]+'))) AS w FROM t),
+n AS (SELECT id, count(*) AS n FROM w GROUP BY 1), p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM w a JOIN w b ON a.w = b.w AND a.train AND NOT b.train AND a.id <> b.id GROUP BY 1, 2)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE shared >= 0.7 * (x.n + y.n - shared)""",
+}

@@ -16,6 +16,7 @@ QUERIES = {
     "p4_ledger": copies.p4_ledger,
     "p5_found": overlaps.p5_found,
     "p5_report": overlaps.p5_report,
+    "p5_coverage": overlaps.p5_coverage,
     "p6_found": edits.p6_found,
     "p6_groups": edits.p6_groups,
     "p7_ids": tokens.p7_ids,
@@ -26,4 +27,4 @@ QUERIES = {
     "p9_found": sentencing.p9_found,
 }
 
-ORACLES: dict[str, str] = quotas.ORACLES | tokens.ORACLES
+ORACLES: dict[str, str] = quotas.ORACLES | tokens.ORACLES | clusters.ORACLES | overlaps.ORACLES | edits.ORACLES | leaks.ORACLES
