@@ -449,7 +449,7 @@ def test_layout_shows_boundaries():
 def test_trained_chain_finds_boundaries_held_out(spark, duck):
     """Blocks of documents joined into one line: a chain trained on half of the documents finds the ends of the others' blocks."""
     texts = [t for (t,) in duck.execute("SELECT text FROM documents WHERE text IS NOT NULL ORDER BY doc_id").fetchall()]
-    chain = sentencing.trained(spark.createDataFrame([(t,) for t in texts[::2]], "text string"), sentencing.NEVER, sentencing.SOMETIMES)
+    chain = sentencing.trained(spark.createDataFrame([(t,) for t in texts[::2]], "text string"), len(texts[::2]), sentencing.NEVER, sentencing.SOMETIMES)
     right = total = 0
     for t in texts[1::2]:
         blocks = [t[h:e].strip() for _, h, e in sentencing._blocks(t)]

@@ -33,7 +33,7 @@ RARE, AT_END = 1 / 5000, 0.15
 BARE = 0.3
 #: In this share of its places a learned abbreviation of the second kind stands before a small letter.
 BEFORE_SMALL = 0.3
-#: Documents that the chain is trained on, at most.
+#: Documents that the chain is trained on, about.
 TRAINING = 20_000
 #: Places that the potentials of convention count as beside those learned, and the kinds that the stated rules decide.
 STRENGTH = 200
@@ -296,7 +296,7 @@ def units(text: str, never: set[str] = NEVER, sometimes: set[str] = SOMETIMES, c
     return out
 
 
-def learned_abbreviations(texts: DataFrame) -> tuple[set[str], set[str]]:
+def learned_abbreviations(texts: DataFrame, total: int) -> tuple[set[str], set[str]]:
     """(those that never end a sentence, those that don't before a small letter), by their places in all texts.
 
     Counted are short words before a full stop, within a line, before a small letter and at the end of a block, and
@@ -315,7 +315,7 @@ def learned_abbreviations(texts: DataFrame) -> tuple[set[str], set[str]]:
     by = seen.groupBy("w").agg(*[F.count_if(F.col("k") == k).alias(c) for k, c in enumerate(("mid", "at_end", "small", "bare"))])
     n, p = F.col("mid") + F.col("at_end"), F.col("at_end") / (F.col("mid") + F.col("at_end"))
     never = (p + 2 / n + 2 * F.sqrt(p * (1 - p) / n + 1 / (n * n))) / (1 + 4 / n) <= AT_END
-    often = (F.col("mid") >= RARE * texts.count()) & (4 / (F.col("mid") + 4) <= AT_END)
+    often = (F.col("mid") >= RARE * total) & (4 / (F.col("mid") + 4) <= AT_END)
     kept = by.where(often & (F.col("bare") <= BARE * F.col("mid")) & (never | (F.col("small") >= BEFORE_SMALL * F.col("mid")))).select("w", never.alias("never")).collect()
     return {r["w"] for r in kept if r["never"]}, {r["w"] for r in kept if not r["never"]}
 
@@ -402,10 +402,12 @@ def fit(counts: list[tuple[str, str, str, str, int]], conventions: dict[str, flo
     return Chain(kinds, steps)
 
 
-def trained(texts: DataFrame, never: set[str], sometimes: set[str]) -> Chain:
-    """The chain fitted on at most TRAINING documents, by the hash of their text; some hundred counts reach the driver."""
-    sample = spread(texts.select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(TRAINING).select("text"))
-    counts = sample.mapInPandas(_observe(never, sometimes), "what string, script string, kind string, following string, n long")
+def trained(texts: DataFrame, total: int, never: set[str], sometimes: set[str]) -> Chain:
+    """The chain fitted on about TRAINING documents or all, drawn by the hash of their text where they lie; some hundred
+    counts reach the driver."""
+    share = TRAINING / max(1, total)
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else texts
+    counts = sample.select("text").mapInPandas(_observe(never, sometimes), "what string, script string, kind string, following string, n long")
     rows = counts.groupBy("what", "script", "kind", "following").agg(F.sum("n").alias("n")).collect()
     return fit([tuple(r) for r in rows], CONVENTIONS)
 
@@ -429,9 +431,10 @@ def sentence_units(df: DataFrame) -> DataFrame:
     texts and texts of white space have no unit; a row given twice has its units twice.
     """
     texts = spread(df.where("id IS NOT NULL AND text IS NOT NULL").select("id", "text"))
-    never, sometimes = learned_abbreviations(texts)
+    total = texts.count()
+    never, sometimes = learned_abbreviations(texts, total)
     never, sometimes = (never - NUMBERED) | NEVER, sometimes | SOMETIMES
-    return texts.mapInPandas(_units(never, sometimes, trained(texts, never, sometimes)), "id long, sent_start long, sent_end long")
+    return texts.mapInPandas(_units(never, sometimes, trained(texts, total, never, sometimes)), "id long, sent_start long, sent_end long")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
