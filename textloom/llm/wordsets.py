@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -303,7 +304,11 @@ def divided(rows: DataFrame, counts: DataFrame, sides: bool) -> DataFrame:
     mark = F.col("own") * 4 + (F.col("own") == F.col("other")).cast("int") * 2 + (F.col("side") if sides else F.lit(0))
     cell = F.when(F.col("parts") == 1, F.col("cell")).otherwise(F.xxhash64("cell", b1, b2))  # should two be the same, more is compared
     placed = placed.select(cell.alias("cell"), mark.cast("int").alias("mark"), *[c for c in rows.columns if c != "cell"])
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism * 4, (seen.get["rows"] or 0) // TASK)
+    try:
+        n = seen.get["rows"] or 0
+    except Py4JError:  # the optimizer saw that there are no rows, so nothing was observed
+        n = 0
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism * 4, n // TASK)
     return placed.repartition(tasks, "cell")
 
 
