@@ -79,22 +79,26 @@ raw AS (SELECT row_id, term, tf * idf AS w FROM tf JOIN idf USING (term)),
 v AS (SELECT row_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY row_id)) AS w FROM raw)"""
 
 
-@query(with_views("templates", f""", {TFIDF}, r AS (SELECT v.* FROM v JOIN x USING (row_id) WHERE gen_num = 0 AND template_idx <= 32), s AS (SELECT a.row_id, b.row_id AS r, sum(a.w * b.w) AS s FROM v a JOIN r b USING (term) JOIN x ON x.row_id = a.row_id WHERE x.gen_num > 0 GROUP BY 1, 2)
+@query(with_views("templates", f""", {TFIDF}, s AS (SELECT a.row_id, b.row_id AS r, sum(a.w * b.w) AS s FROM v a JOIN v b USING (term) JOIN x ON x.row_id = a.row_id JOIN x y ON y.row_id = b.row_id WHERE x.gen_num > 0 AND y.gen_num = 0 GROUP BY 1, 2)
   SELECT row_id, round(max(s), 5) AS sim FROM s GROUP BY 1"""))
 def tfidf_nn(spark, d):
+    """Of every generated text the greatest similarity to a real one, with the idf of all texts; those that share no term
+    with any real text are left out."""
     t = templates(spark, d).where("Text IS NOT NULL")
     w = F.filter(co.words(F.col("Text")), lambda x: F.length(x) > 1)
-    base = t.select("row_id", "template_idx", "gen_num", w.alias("w"))
+    base = t.select("row_id", "gen_num", w.alias("w"))
     v = cut(co.tfidf(base, "row_id", F.concat("w", co.bigrams(F.col("w")))))  # both sides of the join read it
-    real = base.where("gen_num = 0 AND template_idx <= 32").select("row_id")
-    made = base.where("gen_num > 0").select("row_id")
+    real, made = base.where("gen_num = 0").select("row_id"), base.where("gen_num > 0").select("row_id")
     return co.nearest_text(v.join(made, "row_id", "left_semi"), v.join(real, "row_id", "left_semi"), "row_id").withColumn("sim", F.round("sim", 5))
 
 
-@query()
+REAL_IDF = TFIDF.replace("SELECT count(*) AS n FROM x", "SELECT count(*) AS n FROM x WHERE gen_num = 0").replace("FROM tf, n GROUP BY", "FROM tf JOIN x USING (row_id), n WHERE gen_num = 0 GROUP BY")
+
+
+@query(with_views("templates", f""", {REAL_IDF}, s AS (SELECT a.row_id, b.row_id AS r, sum(a.w * b.w) AS s FROM v a JOIN v b USING (term) JOIN x ON x.row_id = a.row_id JOIN x y ON y.row_id = b.row_id WHERE x.gen_num > 0 AND y.gen_num = 0 GROUP BY 1, 2),
+  m AS (SELECT row_id, max(s) AS sim FROM s GROUP BY 1) SELECT x.row_id, round(coalesce(sim, 0), 5) AS sim FROM x LEFT JOIN m USING (row_id) WHERE gen_num > 0"""))
 def tfidf_nn_all(spark, d):
-    """Unlike tfidf_nn, whose statement names 32 templates, against all real texts, with the idf of those (X2, X5). A text
-    that shares no term with any has 0."""
+    """Like tfidf_nn, with the idf of the real texts alone (X2, X5). A text that shares no term with any has 0."""
     t = templates(spark, d).where("Text IS NOT NULL")
     w = F.filter(co.words(F.col("Text")), lambda x: F.length(x) > 1)
     base = t.select("row_id", "gen_num", w.alias("w"))
@@ -122,9 +126,12 @@ def parse_context_claim(spark, d):
     return p.select("row_id", "c.context", "c.claim")
 
 
-@query("""SELECT row_id, json_extract_string(Text, '$.label') AS label, json_extract_string(Text, '$.text') AS text FROM (SELECT * FROM seq_1_aug_0 WHERE json_valid(Text) AND Text LIKE '{%') WHERE json_extract_string(Text, '$.text') IS NOT NULL""")
+@query(r"""WITH b AS (SELECT row_id, regexp_replace(Text, '^[\s\x{FEFF}\x{200B}]+|[\s\x{FEFF}\x{200B}]+\z', '', 'g') AS b FROM seq_1_aug_0)
+  SELECT row_id, json_extract_string(b, '$.label') AS label, json_extract_string(b, '$.text') AS text FROM (SELECT * FROM b WHERE json_valid(b) AND starts_with(b, '{')) WHERE json_extract_string(b, '$.text') IS NOT NULL""")
 def unpack_records(spark, d):
-    got = table(spark, d, "seq_1_aug_0").where("Text LIKE '{%'").select("row_id", F.from_json("Text", "label string, text string").alias("j"))
+    """Label and text of the records that are JSON objects, whatever white space or byte order mark stands around them."""
+    b = F.regexp_replace("Text", r"^[\s\x{FEFF}\x{200B}]+|[\s\x{FEFF}\x{200B}]+\z", "")
+    got = table(spark, d, "seq_1_aug_0").select("row_id", b.alias("b")).where(F.startswith("b", F.lit("{"))).select("row_id", F.from_json("b", "label string, text string").alias("j"))
     return got.select("row_id", "j.label", "j.text").where("text IS NOT NULL")
 
 

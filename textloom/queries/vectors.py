@@ -67,18 +67,20 @@ def label_sim_matrix(spark, d):
     return both.select("a", "b", F.round(sim.dot(F.col("ma"), F.col("mb")), 6).alias("mean_sim"))
 
 
-@query(with_views("vectors", """, p AS (SELECT a.class_label, a.vec_id AS a, b.vec_id AS b, round(1 - list_dot_product(a.v, b.v), 9) AS distance FROM vectors a JOIN vectors b ON a.class_label = b.class_label AND a.vec_id < b.vec_id WHERE a.is_ref AND b.is_ref)
+@query(with_views("vectors", """, p AS (SELECT a.class_label, a.vec_id AS a, b.vec_id AS b, round(1 - list_dot_product(a.v, b.v), 9) AS distance FROM vectors a JOIN vectors b ON a.class_label = b.class_label AND a.vec_id < b.vec_id)
   SELECT class_label, a, b, round(distance, 6) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY class_label ORDER BY distance DESC, a, b) = 1"""))
 def farthest_pair(spark, d):
-    return sim.farthest_pair(_parts(spark, d)[1], ["class_label"]).withColumn("distance", F.round("distance", 6))
+    """The two most distant of all vectors of a class (X17)."""
+    v = vectors(spark, d).select(F.col("vec_id").alias("id"), "class_label", "v")
+    return sim.farthest_pair(v, ["class_label"]).withColumn("distance", F.round("distance", 6))
 
 
-@query(with_views("vectors", """, p AS (SELECT a.class_label, a.vec_id AS a, b.vec_id AS b, round(1 - list_dot_product(a.v, b.v), 9) AS distance FROM vectors a JOIN vectors b ON a.class_label = b.class_label AND a.vec_id < b.vec_id)
-  SELECT class_label, a, b, round(distance, 6) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY class_label ORDER BY distance DESC, a, b) = 1"""))
+@query(with_views("vectors", """, p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(1 - list_dot_product(a.v, b.v), 9) AS distance FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id < b.vec_id)
+  SELECT label, a, b, round(distance, 6) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY label ORDER BY distance DESC, a, b) = 1"""))
 def farthest_pair_all(spark, d):
-    """Unlike farthest_pair, whose statement names the references, over all vectors of a class (X17)."""
-    v = vectors(spark, d).select(F.col("vec_id").alias("id"), "class_label", "v")
-    return sim.farthest_pair(v, ["class_label"]).withColumn("distance", F.round("distance", 6))
+    """The two most distant of all vectors of each label."""
+    v = vectors(spark, d).select(F.col("vec_id").alias("id"), "label", "v")
+    return sim.farthest_pair(v, ["label"]).withColumn("distance", F.round("distance", 6))
 
 
 KNN = """n AS (SELECT q.vec_id, q.class_label, o.class_label AS other FROM vectors q JOIN vectors o ON q.vec_id <> o.vec_id WHERE q.vec_id % 100 = 0
@@ -96,10 +98,18 @@ def knn_overlap(spark, d):
     return _overlap(spark, d).select(F.col("id").alias("vec_id"), "class_label", F.round("score", 6).alias("score"))
 
 
-@query(with_views("vectors", f""", {KNN} SELECT vec_id, class_label FROM (SELECT *, count(*) OVER (PARTITION BY class_label) AS n, row_number() OVER (PARTITION BY class_label ORDER BY round(score, 9), vec_id) AS low FROM o)
-  WHERE low > round_even(n * CAST(0.3 AS DOUBLE), 0)"""))
+def _every_overlap(label: str) -> str:
+    return f""", n AS (SELECT q.vec_id, q.{label}, o.{label} AS other FROM vectors q JOIN vectors o ON q.vec_id <> o.vec_id
+  QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, o.v), 9) DESC, o.vec_id) <= 15),
+  o AS (SELECT vec_id, {label}, avg(CAST(other <> {label} AS INT)) AS score FROM n GROUP BY 1, 2)
+  SELECT vec_id, {label} FROM (SELECT *, count(*) OVER (PARTITION BY {label}) AS n, row_number() OVER (PARTITION BY {label} ORDER BY round(score, 9), vec_id) AS low FROM o) WHERE low > round_even(n * CAST(0.3 AS DOUBLE), 0)"""
+
+
+@query(with_views("vectors", _every_overlap("class_label")))
 def overlap_filter(spark, d):
-    return sim.drop_lowest(_overlap(spark, d), 0.3).select(F.col("id").alias("vec_id"), "class_label")
+    """Every row is scored against all others, in blocks, and the least overlapping of each class are left out (X12)."""
+    v = vectors(spark, d).select(F.col("vec_id").alias("id"), "class_label", "v")
+    return sim.drop_lowest(sim.overlap_scores(v, v, 15), 0.3).select(F.col("id").alias("vec_id"), "class_label")
 
 
 @query(with_views("vectors", """, x AS (SELECT label, class_label, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM vectors),
@@ -121,7 +131,18 @@ def maximin_select(spark, d):
     return sim.diverse(c, ["class_label"], 6).select("place", F.col("id").alias("vec_id"))
 
 
-@query()
+def _greedy(keep: int, score: str, mid: str) -> str:
+    """The mid rows of each class of the greatest score, then keep of them: the smallest id, then always the farthest from all chosen."""
+    return f""", {SIMS}, h AS (SELECT vec_id, class_label, row_number() OVER (PARTITION BY class_label ORDER BY round({score}, 9) DESC NULLS LAST, vec_id) AS place, count(*) OVER (PARTITION BY class_label) AS n FROM a),
+  x AS MATERIALIZED (SELECT vec_id, h.class_label, v, count(*) OVER (PARTITION BY h.class_label) AS n, row_number() OVER (PARTITION BY h.class_label ORDER BY vec_id) AS nth FROM h JOIN vectors USING (vec_id) WHERE h.place <= {mid}),
+  g AS (SELECT class_label, 1 AS place, min(vec_id) AS vec_id, [min(vec_id)] AS chosen FROM x WHERE n > {keep} GROUP BY 1
+    UNION ALL SELECT class_label, place + 1, nxt, list_append(chosen, nxt) FROM (SELECT g.class_label, g.place, g.chosen, (
+      SELECT o.vec_id FROM x o JOIN x k ON k.class_label = o.class_label AND list_contains(g.chosen, k.vec_id) WHERE o.class_label = g.class_label AND NOT list_contains(g.chosen, o.vec_id)
+      GROUP BY o.vec_id ORDER BY round(least(1.0, min(1 - list_dot_product(o.v, k.v))), 9) DESC, o.vec_id LIMIT 1) AS nxt FROM g WHERE g.place < {keep}))
+  SELECT class_label, vec_id, CAST(place AS INT) AS place FROM g UNION ALL SELECT class_label, vec_id, CAST(nth AS INT) FROM x WHERE n <= {keep}"""
+
+
+@query(with_views("vectors", _greedy(40, "best", "least(n, 40 + floor((n - 40) / 2))")))
 def filter_pipeline(spark, d):
     return sim.filter_pipeline(*_parts(spark, d), target=40).select("class_label", F.col("id").alias("vec_id"), "place")
 
@@ -160,14 +181,11 @@ def holdout_overlap(spark, d):
     return best.groupBy(F.col("class_label").alias("label")).agg(F.round(F.avg("sim"), 6).alias("overlap"))
 
 
-@query(with_views("vectors", """, n AS (SELECT q.vec_id, q.class_label, o.class_label AS other FROM vectors q JOIN vectors o ON q.vec_id <> o.vec_id
-  QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, o.v), 9) DESC, o.vec_id) <= 15),
-  o AS (SELECT vec_id, class_label, avg(CAST(other <> class_label AS INT)) AS score FROM n GROUP BY 1, 2)
-  SELECT vec_id, class_label FROM (SELECT *, count(*) OVER (PARTITION BY class_label) AS n, row_number() OVER (PARTITION BY class_label ORDER BY round(score, 9), vec_id) AS low FROM o) WHERE low > round_even(n * CAST(0.3 AS DOUBLE), 0)"""))
+@query(with_views("vectors", _every_overlap("label")))
 def overlap_filter_all(spark, d):
-    """Unlike overlap_filter, which judges the query set only, every row is scored against all others, in blocks (X12)."""
-    v = vectors(spark, d).select(F.col("vec_id").alias("id"), "class_label", "v")
-    return sim.drop_lowest(sim.overlap_scores(v, v, 15), 0.3).select(F.col("id").alias("vec_id"), "class_label")
+    """Like overlap_filter, with each label as a class of its own."""
+    v = vectors(spark, d).select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("class_label"), "v")
+    return sim.drop_lowest(sim.overlap_scores(v, v, 15), 0.3).select(F.col("id").alias("vec_id"), F.col("class_label").cast("int").alias("label"))
 
 
 @query(with_views("vectors", f""", {SIMS}, k AS (SELECT class_label, count(*) AS n FROM a GROUP BY 1),
@@ -180,9 +198,9 @@ def gap_midpoint(spark, d):
     return sim.nearest_half(scored).select("class_label", F.col("id").alias("vec_id"))
 
 
-@query()
+@query(with_views("vectors", _greedy(40, "mean_own - mean_other", "40 + floor((n - 40) / 2)")))
 def gap_pipeline(spark, d):
-    """The whole gap pipeline; the greedy step has no statement but for six rows of one class, see maximin_select."""
+    """The whole gap pipeline."""
     return sim.gap_pipeline(*_parts(spark, d), target=40).select("class_label", F.col("id").alias("vec_id"), "place")
 
 
@@ -227,12 +245,12 @@ def contrastive_loss(spark, d):
     return sim.contrastive_loss(v, "batch", "label", 0.1).withColumn("loss", F.round("loss", 6))
 
 
-@query(with_views("vectors", """, p AS (SELECT a.class_label, list_dot_product(a.v, b.v) AS s FROM vectors a JOIN vectors b ON a.class_label = b.class_label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+@query(with_views("vectors", """, p AS (SELECT a.class_label, list_dot_product(a.v, b.v) AS s FROM vectors a JOIN vectors b ON a.class_label = b.class_label AND a.vec_id <> b.vec_id)
   SELECT class_label, round(min(s), 6) AS least, round(max(s), 6) AS most, round(avg(s), 6) AS mean FROM p GROUP BY 1"""))
 def pair_sim_range(spark, d):
-    """Least, greatest and mean similarity of the query rows to all others of their class."""
+    """Least, greatest and mean similarity of the pairs of each class, all compared in blocks (A18)."""
     v = vectors(spark, d).select(F.col("vec_id").alias("id"), "class_label", "v")
-    x = sim.similarity_range(v, v.where("id % 100 = 0"))
+    x = sim.similarity_range(v, v)
     return x.select("class_label", *[F.round(c, 6).alias(c) for c in ("least", "most", "mean")])
 
 
