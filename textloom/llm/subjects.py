@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +55,9 @@ MAJORITY = 0.5
 #: Weight of an example word of the subject table, and of a learned term that is wholly pure.
 GIVEN_WEIGHT, LEARNED_WEIGHT = 1.0, 0.9
 NOTHING = ("none", "various", "")
+#: Phrases that a task counts before it gives them out and begins anew.
+HELD = 500_000
+PHRASES = "term string, subject string, n long"
 
 _REMARK = r"(?s)\b(?:" + "|".join(x.strip().replace(" ", r"\s+") for x in REMARKS.split(",")) + r")\b.*$"
 _WORD = re.compile(r"[^\W_]+")
@@ -77,18 +83,28 @@ def curated_terms(subjects: DataFrame) -> dict[str, tuple[str, float]]:
     return terms
 
 
+def _counted(counts: dict[str, Counter]) -> pa.RecordBatch:
+    """The phrases counted so far by subject, as a batch; the counts begin anew."""
+    sizes = np.array([len(c) for c in counts.values()], int)
+    terms, n = [t for c in counts.values() for t in c], [x for c in counts.values() for x in c.values()]
+    subjects = pa.array(np.repeat(np.array(list(counts), dtype=object), sizes), pa.string())
+    counts.clear()
+    return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), subjects, pa.array(n, pa.int64())], names=["term", "subject", "n"])
+
+
 def _phrases(terms: dict[str, tuple[str, float]]):
-    """The phrases of one and two words beside the terms of the sentences in which one subject is known, or none ('').
+    """The phrases of one and two words beside the terms of the sentences in which one subject is known, or none (''), and
+    the texts of the task that have them, HELD phrases at a time.
 
     A part of a known term is no evidence: 'evening' of 'evening classes' means nothing elsewhere. Once for each text.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = Matcher(terms)
-        for pdf in batches:
-            rows = []
-            for text in pdf["sentences"]:
-                seen = set()
+        counts: dict[str, Counter] = {}
+        for batch in batches:
+            for text in batch.column("sentences").to_pylist():
+                seen: dict[str, set] = {}
                 for w in text:
                     found = match(w)
                     known = {m[1] for m in found}
@@ -96,12 +112,16 @@ def _phrases(terms: dict[str, tuple[str, float]]):
                         parts = f" {w} "
                         for term, *_ in found:
                             parts = parts.replace(f" {term} ", " | ")
-                        subject = next(iter(known), "")
+                        own = seen.setdefault(next(iter(known), ""), set())
                         for part in parts.split("|"):
                             x = part.split()
-                            seen |= {(" ".join(x[i : i + n]), subject) for n in (1, 2) for i in range(len(x) - n + 1)}
-                rows += seen
-            yield pd.DataFrame(rows, columns=["term", "subject"], dtype=str)
+                            own.update(x)
+                            own.update(map(" ".join, zip(x, x[1:])))
+                for subject, own in seen.items():
+                    counts.setdefault(subject, Counter()).update(own)
+                if sum(map(len, counts.values())) > HELD:
+                    yield _counted(counts)
+        yield _counted(counts)
 
     return run
 
@@ -113,22 +133,27 @@ def _bounds(n: Column, total: Column) -> tuple[Column, Column]:
     return (middle - width) / (1 + 4 / total), (middle + width) / (1 + 4 / total)
 
 
-def _labelled_phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for subject, text in zip(pdf["subject"], pdf["sentences"], strict=True):
-            seen = set()
+def _labelled_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The phrases of up to three words of the labelled texts and the texts of each label that have them."""
+    counts: dict[str, Counter] = {}
+    for batch in batches:
+        for subject, text in zip(batch.column("subject").to_pylist(), batch.column("sentences").to_pylist(), strict=True):
+            seen: set[str] = set()
             for sentence in text:
                 x = sentence.split()
-                seen |= {" ".join(x[i : i + n]) for n in (1, 2, 3) for i in range(len(x) - n + 1)}
-            rows += [(t, subject) for t in seen]
-        yield pd.DataFrame(rows, columns=["term", "subject"], dtype=str)
+                seen.update(x)
+                seen.update(map(" ".join, zip(x, x[1:])))
+                seen.update(map(" ".join, zip(x, x[1:], x[2:])))
+            counts.setdefault(subject, Counter()).update(seen)
+            if sum(map(len, counts.values())) > HELD:
+                yield _counted(counts)
+    yield _counted(counts)
 
 
 def confirmed_terms(labelled: DataFrame, curated: dict[str, tuple[str, float]], names: set[str]) -> dict[str, tuple[str, float]]:
     """Term -> (subject, weight), by the labelled rows (at most LABELLED_ROWS): the phrases whose rows are proven to have one
     label mostly (PROVEN), and the curated terms, less those that are proven not to (MAJORITY), as stock phrases are."""
-    n = labelled.mapInPandas(_labelled_phrases, "term string, subject string").groupBy("term", "subject").agg(F.count("*").alias("n"))
+    n = labelled.mapInArrow(_labelled_phrases, PHRASES).repartition("term").groupBy("term", "subject").agg(F.sum("n").alias("n"))
     by = n.groupBy("term").agg(F.sum("n").alias("total"), F.max(F.struct("n", "subject")).alias("top"), F.map_from_entries(F.collect_list(F.struct("subject", "n"))).alias("of"))
     low, _ = _bounds(F.col("top.n"), F.col("total"))
     known = [(t, s) for t, (s, _) in curated.items()]
@@ -152,17 +177,20 @@ def learned_terms(texts: DataFrame, known: dict[str, tuple[str, float]], total:
     of it is common: the upper bound of the share of its most frequent subject is below MAJORITY. Shares decide, not
     counts, so more texts prove more and drop nothing. Where phrases overlap, the automaton takes one.
     """
-    counts = texts.mapInPandas(_phrases(known), "term string, subject string").groupBy("term", "subject").agg(F.count("*").alias("n"))
-    one = F.col("subject") != ""
-    by = counts.groupBy("term").agg(F.sum(F.when(one, F.col("n"))).alias("total"), F.max(F.when(one, F.struct("n", "subject"))).alias("top"), F.sum("n").alias("all"))
-    by = cut(by.where("total > 0"))
-    n, p = F.col("total"), F.col("top.n") / F.col("total")
-    low, high = _bounds(F.col("top.n"), n)
+    names = sorted({s for s, _ in known.values()})
+    place = F.array_position(F.lit(names).cast("array<string>"), F.col("subject"))  # 0 for no subject, in the order of the names
+    counts = texts.mapInArrow(_phrases(known), PHRASES).repartition("term").withColumn("s", place)  # both groupings follow this one shuffle
+    counts = counts.groupBy("term", "s").agg(F.sum("n").alias("n"))
+    one, packed = F.col("s") > 0, F.col("n") * (len(names) + 1) + F.col("s")  # numbers alone, so that rows are hashed, not sorted
+    by = counts.groupBy("term").agg(F.sum(F.when(one, F.col("n"))).alias("total"), F.max(F.when(one, packed)).alias("top"), F.sum("n").alias("all"))
+    by = cut(by.where("total > 0").select("term", "total", "all", F.expr(f"top div {len(names) + 1}").alias("most"), (F.col("top") % (len(names) + 1)).cast("int").alias("s")))
+    n, p = F.col("total"), F.col("most") / F.col("total")
+    low, high = _bounds(F.col("most"), n)
     common = by.where((high < MAJORITY) & ~F.contains("term", F.lit(" "))).select("term")
-    good = by.where((p >= PURITY) & (low >= PROVEN) & (n >= RARE * total) & (n >= KNOWN * F.col("all"))).select("term", F.col("top.subject").alias("subject"), p.alias("p"))
+    good = by.where((p >= PURITY) & (low >= PROVEN) & (n >= RARE * total) & (n >= KNOWN * F.col("all"))).select("term", "s", p.alias("p"))
     for k in (1, -1):
         good = good.join(common.toDF("part"), F.element_at(F.split("term", " "), k) == F.col("part"), "left_anti")
-    return {r["term"]: (r["subject"], LEARNED_WEIGHT * r["p"]) for r in good.collect()}
+    return {r["term"]: (names[r["s"] - 1], LEARNED_WEIGHT * r["p"]) for r in good.collect()}
 
 
 class Matcher:
@@ -234,7 +262,7 @@ def subject_scores(df: DataFrame, subjects: DataFrame) -> tuple[DataFrame, float
     label = F.lower(F.trim("topic")).alias("label")
     texts = cut(spread(df.where("id IS NOT NULL AND text IS NOT NULL")).select("id", label, sentences(F.col("text")).alias("sentences")))
     labelled = texts.where("label IS NOT NULL").select(F.col("label").alias("subject"), "sentences").distinct()
-    labelled = cut(labelled.orderBy(F.xxhash64("sentences"), "subject").limit(LABELLED_ROWS))
+    labelled = cut(labelled.orderBy(F.xxhash64("sentences"), "subject").limit(LABELLED_ROWS).repartition(df.sparkSession.sparkContext.defaultParallelism))  # the limit leaves one partition
     total = max(1, texts.count())
     curated = curated_terms(subjects)
     terms = confirmed_terms(labelled, curated, {s for s, _ in curated.values()})
