@@ -260,6 +260,28 @@ def test_nearest_text_compares_with_all_references(spark, monkeypatch):
     assert got == pytest.approx(want, abs=1e-5) and got[60] == 0
 
 
+@pytest.mark.parametrize("common", [0.0, 0.1, 1.0])
+def test_numbered_terms_give_the_cosines_of_terms(spark, monkeypatch, common):
+    from textloom.operators.backends import TfIdf
+
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(f"w{int(k)}" for k in rng.zipf(1.5, 9) if k < 60)) for i in range(80)] + [(80, "unheard of"), (81, ""), (82, None), (83, "w1 unheard")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    real, made = df.where("id % 2 = 0 AND id < 80"), df.where("id % 2 = 1 OR id >= 80")
+    for name, value in (("NUMBERED", 7), ("COMMON", common)):
+        monkeypatch.setattr(corpus, name, value, raising=False)
+    want = {r["id"]: r["sim"] for r in TfIdf(None).fit(real).nearest(made, real).collect()}
+    got = {r["id"]: r["sim"] for r in TfIdf(100_000).fit(real).nearest(made, real).collect()}
+    assert got == pytest.approx(want) and got[80] == got[82] == 0 and got[83] > 0
+
+
+def test_bigrams_cut_the_text_once(spark):
+    df = spark.createDataFrame([("a b  c",), ("x",), ("",), (None,)], "t string").select(corpus.words(F.col("t")).alias("w")).select(corpus.bigrams(F.col("w")).alias("b"))
+    assert [r["b"] for r in df.collect()] == [["a b", "b c"], [], [], []]
+    plan = df.where("size(b) > 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat_ws( , element_at" not in plan  # the text would be cut for each pair
+
+
 def test_farthest_pair_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(11)
     m = rng.normal(size=(80, 3)) + [1, 0, 0]

@@ -22,10 +22,12 @@ class Backend(Protocol):
         """(id, sim): of each candidate the greatest similarity to a reference; 0 where nothing is shared."""
 
 
-def tfidf_terms(text: Column) -> Column:
-    """Words of two characters or more and their neighbouring pairs."""
-    w = F.filter(co.words(text), lambda x: F.length(x) > 1)
-    return F.concat(w, co.bigrams(w))
+def tfidf_terms(df: DataFrame) -> DataFrame:
+    """(id, w) of df(id, text): words of two characters or more and their neighbouring pairs; rows without a text are left out.
+
+    The words are a column of their own before they are paired, as the pairs would else cut the text anew for each."""
+    w = df.where("text IS NOT NULL").select("id", F.filter(co.words(F.col("text")), lambda x: F.length(x) > 1).alias("w"))
+    return w.select("id", F.concat("w", co.bigrams(F.col("w"))).alias("w"))
 
 
 class TfIdf:
@@ -35,14 +37,17 @@ class TfIdf:
         self.max_features, self.real = max_features, None
 
     def fit(self, real: DataFrame) -> TfIdf:
-        self.real = real.where("text IS NOT NULL").select("id", tfidf_terms(F.col("text")).alias("w"))
+        self.real = tfidf_terms(real)
         return self
 
     def nearest(self, candidates: DataFrame, refs: DataFrame) -> DataFrame:
-        rows = [df.where("text IS NOT NULL").select("id", tfidf_terms(F.col("text")).alias("w")) for df in (candidates, refs)]
-        kept = co.frequent_terms(self.real, F.col("w"), self.max_features) if self.max_features else None
-        a, b = (co.tfidf_of(x, "id", F.col("w"), self.real, kept) for x in rows)
-        near = co.nearest_text(a, b, "id")
+        rows = [tfidf_terms(df) for df in (candidates, refs)]
+        if self.max_features:
+            kept = [r["term"] for r in co.frequent_terms(self.real, F.col("w"), self.max_features).collect()]
+            near = co.nearest_numbered(*rows, self.real, "id", F.col("w"), kept)
+        else:
+            a, b = (co.tfidf_of(x, "id", F.col("w"), self.real) for x in rows)
+            near = co.nearest_text(a, b, "id")
         return candidates.select("id").join(near, "id", "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
 
 
