@@ -87,6 +87,31 @@ def test_neighbours_lose_no_pair(spark, t, monkeypatch):
         assert got == brute(texts, t)
 
 
+def test_cells_compared_in_portions(spark, monkeypatch):
+    """The cells of a portion, and nothing that was shuffled for those before it, take disk; no pair is lost or repeated."""
+    texts, shuffled = variants(400), []
+    members, sets = wordsets.word_sets(spark.createDataFrame(texts, "id long, text string"))
+    whole = sorted(map(tuple, clusters.neighbours(sets, 0.5).collect()))
+    for name, value in (("LEAST_PORTION", 1), ("PORTION", 10), ("LEAST_CHECKED", 1), ("CELL", 10)):
+        monkeypatch.setattr(wordsets, name, value)
+    blocks = wordsets.in_blocks
+    monkeypatch.setattr(wordsets, "in_blocks", lambda rows, *a: shuffled.append(rows.select("cell").cache()) or blocks(rows, *a))
+    assert sorted(map(tuple, clusters.neighbours(sets, 0.5).collect())) == whole
+    cells = [{r["cell"] for r in x.collect()} for x in shuffled]
+    assert len(cells) > 3 and all(not a & b for a, b in combinations(cells, 2))
+    hot = wordsets.hot_words(sets)
+    assert {r["cell"] for r in sets.mapInArrow(clusters._reduce(hot, 0.5), wordsets.ROWS).collect()} == set().union(*cells)
+    assert max(x.count() for x in shuffled) < sum(x.count() for x in shuffled) / 2
+
+
+def test_pairs_of_ids_with_several_rows_come_once(spark):
+    members = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2), (3, 1)], "id long, cluster long")
+    both = members.toDF("a", "cluster").join(members.toDF("b", "cluster"), "cluster").where("a < b").select("a", "b")
+    assert sorted(map(tuple, wordsets.distinct_pairs(both, members).collect())) == [(1, 2), (1, 3), (2, 3)]
+    single = members.where("cluster = 1")
+    assert sorted(map(tuple, wordsets.distinct_pairs(both.distinct(), single).collect())) == [(1, 2), (1, 3), (2, 3)]
+
+
 def test_near_edits_lose_no_pair(spark):
     texts = variants(400, 8)
     equal = {(a, b) for (a, x), (b, y) in combinations(texts, 2) if x == y}
