@@ -104,6 +104,20 @@ def test_cells_compared_in_portions(spark, monkeypatch):
     assert max(x.count() for x in shuffled) < sum(x.count() for x in shuffled) / 2
 
 
+def test_groups_opened_in_portions(spark, monkeypatch):
+    """The tokens of the matrix are made and compared portion by portion; no pair is lost or repeated."""
+    texts, shuffled = spark.createDataFrame(variants(400, 8), "id long, text string"), []
+    whole = sorted(map(tuple, edits.edit_links(texts, 0.6)[1].collect()))
+    for module, name, value in ((wordsets, "LEAST_PORTION", 1), (wordsets, "PORTION", 10), (wordsets, "LEAST_CHECKED", 1), (wordsets, "CELL", 10), (edits, "LEAST_OPENED", 1), (edits, "OPENED", 1)):
+        monkeypatch.setattr(module, name, value)
+    blocks = wordsets.in_blocks
+    monkeypatch.setattr(wordsets, "in_blocks", lambda rows, *a: shuffled.append(rows.select("cell").cache()) or blocks(rows, *a))
+    assert sorted(map(tuple, edits.edit_links(texts, 0.6)[1].collect())) == whole and len(whole) > 50
+    cells = [{r["cell"] for r in x.collect()} for x in shuffled]
+    assert len(cells) > 3 and all(not a & b for a, b in combinations(cells, 2))
+    assert max(x.count() for x in shuffled) < sum(x.count() for x in shuffled) / 2
+
+
 def test_pairs_of_ids_with_several_rows_come_once(spark):
     members = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2), (3, 1)], "id long, cluster long")
     both = members.toDF("a", "cluster").join(members.toDF("b", "cluster"), "cluster").where("a < b").select("a", "b")
